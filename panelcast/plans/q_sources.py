@@ -47,15 +47,15 @@ def _(spark, d):
 @query(
     "s4_market_documents",
     f"""SELECT event_type AS series_key, date_trunc('hour', ts) AS ts, 'B0' || length(event_type)::VARCHAR AS psr_type,
-    {r('round(avg(value), 2)', 3)} AS value FROM events GROUP BY 1, 2, 3""",
-    digits={"value": 3},
+    {r('avg(value)', 5)} AS value FROM events GROUP BY 1, 2, 3""",
+    digits={"value": 5},
 )
 def _(spark, d):
     """Hourly prices rendered as one market document per series and day, then parsed back."""
     raw = pn.hourly_raw(spark, d).withColumn("day", F.date_trunc("day", TS))
     point = F.concat(
         F.lit("<Point><position>"), (F.hour(TS) + 1).cast("string"), F.lit("</position><price.amount>"),
-        F.format_string("%.2f", F.round("price", 2)), F.lit("</price.amount></Point>"),
+        F.format_string("%.9f", F.col("price")), F.lit("</price.amount></Point>"),
     )
     docs = raw.groupBy(KEY, "day").agg(F.concat_ws("", F.array_sort(F.collect_list(point))).alias("pts")).select(
         KEY,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import sys
+import threading
 import time
 from collections import Counter
 from decimal import Decimal
@@ -12,6 +13,7 @@ from decimal import Decimal
 import duckdb
 from pyspark.sql import SparkSession
 
+LIMIT = 60  # seconds per query
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -93,10 +95,13 @@ def main(pattern=".", sf="0.01"):
         if not re.search(pattern, name):
             continue
         total += 1
+        alarm = threading.Timer(LIMIT, spark.sparkContext.cancelAllJobs)
+        alarm.start()
         try:
             res = compare(spark, con, fn, sqls.get(name), folder)
         except Exception as e:  # report and go on with the other queries
-            res = {"ok": False, "why": f"{type(e).__name__}: {str(e)[:600]}"}
+            res = {"ok": False, "why": f"{type(e).__name__}: {str(e)[-600:] if 'Python' in type(e).__name__ else str(e)[:600]}"}
+        alarm.cancel()
         state = {True: "ok  ", None: "rows", False: "FAIL"}[res["ok"]]
         print(state, name, f"rows={res.get('rows')} {res.get('sec', 0):.2f}s duck={res.get('duck', 0):.2f}s", res.get("why", ""), flush=True)
         if res["ok"] is False:
