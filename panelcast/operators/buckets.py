@@ -7,8 +7,8 @@ does not spread. Two exact schemes are used instead.
   the rows a frame can reach in a neighbouring bucket are copied there ("halo").
 * Unbounded frames (fills, running totals, row numbers): one summary row per
   (series, bucket), an exclusive prefix over the summaries, then a window inside
-  each bucket that starts from the carried value. The prefix is itself done in
-  levels, so even the summaries of one series are not a single window partition.
+  each bucket that starts from the carried value. One summary row stands for
+  65,536 slots, so the prefix of even a series of 10^11 rows is small.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from panelcast.schemas import HOUR, KEY, TS
 
-ROWS_PER_BUCKET = 2048
-_FANOUT = 1024
+ROWS_PER_BUCKET = 8192
+ROWS_PER_RUN = 65536
 
 
 def slot(ts="ts", step: int = HOUR) -> Column:
@@ -65,37 +65,25 @@ def _merge(kind: str, carried: Column, own: Column) -> Column:
     return F.coalesce(own, carried)
 
 
-def _reduce(kind: str, c: str, order: str) -> Column:
+def _reduce(kind: str, c: str) -> Column:
     if kind == "sum":
         return F.sum(c)
     if kind == "max":
         return F.max(c)
-    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order)))
+    pick = F.min_by if kind == "next" else F.max_by
+    return pick(F.col(c), F.when(F.col(c).isNotNull(), F.col("_run_pos")))
 
 
-def _running(kind: str, c: str, w) -> Column:
+def _over(kind: str, c: str, w, edge: int) -> Column:
+    """Running reduction up to ``edge`` rows away (``next`` looks ahead)."""
+    if kind == "next":
+        return F.first(c, ignorenulls=True).over(w.rowsBetween(edge, Window.unboundedFollowing))
+    frame = w.rowsBetween(Window.unboundedPreceding, -edge)
     if kind == "sum":
-        return F.sum(c).over(w)
+        return F.sum(c).over(frame)
     if kind == "max":
-        return F.max(c).over(w)
-    return F.last(c, ignorenulls=True).over(w)
-
-
-def _exclusive_prefix(summary: DataFrame, keys, order: str, kinds: dict[str, str], levels: int) -> DataFrame:
-    """Per summary row, the reduction of all earlier summary rows of the same keys."""
-    if levels == 1:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return summary.select(*keys, order, *[_running(k, c, w).alias(c) for c, k in kinds.items()])
-    up = f"{order}_up"
-    s = summary.withColumn(up, F.floor(F.col(order) / _FANOUT))
-    tops = s.groupBy(*keys, up).agg(*[_reduce(k, c, order).alias(c) for c, k in kinds.items()])
-    tops = _exclusive_prefix(tops, keys, up, kinds, levels - 1)
-    tops = tops.select(*keys, up, *[F.col(c).alias(f"_top_{c}") for c in kinds])
-    w = Window.partitionBy(*keys, up).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = s.select(*keys, order, up, *[_running(k, c, w).alias(c) for c, k in kinds.items()])
-    return inner.join(tops, [*keys, up]).select(
-        *keys, order, *[_merge(k, F.col(f"_top_{c}"), F.col(c)).alias(c) for c, k in kinds.items()]
-    )
+        return F.max(c).over(frame)
+    return F.last(c, ignorenulls=True).over(frame)
 
 
 def running(
@@ -104,35 +92,32 @@ def running(
     *,
     pos: str | Column | None = None,
     keys=(KEY,),
-    reverse: bool = False,
     inclusive: bool = True,
     step: int = HOUR,
-    size: int = ROWS_PER_BUCKET,
-    levels: int = 2,
+    size: int = ROWS_PER_RUN,
 ) -> DataFrame:
-    """Add unbounded running columns: ``{name: (kind, column)}``, kind ``sum``, ``max`` or ``last``.
+    """Add unbounded running columns: ``{name: (kind, column)}``.
 
-    ``last`` skips NULLs (a carry forward). ``reverse`` runs from the end.
-    ``pos`` must be unique per row within the keys for a defined result.
+    Kinds: ``sum`` and ``max`` of the rows so far, ``last`` known value so far,
+    ``next`` known value from here on. ``pos`` must be unique per row within the
+    keys. All columns share the same two exchanges: one for the bucket summaries
+    (combined map-side) and one for the rows.
     """
     p = slot(TS, step) if pos is None else (F.col(pos) if isinstance(pos, str) else pos)
     kinds = {name: kind for name, (kind, _) in specs.items()}
-    base = df.select("*", (-p if reverse else p).alias("_pos"), *[c.alias(f"_v_{n}") for n, (_, c) in specs.items()])
-    base = base.withColumn("_b", F.floor(F.col("_pos") / size))
-    summary = base.groupBy(*keys, "_b").agg(*[_reduce(k, f"_v_{n}", "_pos").alias(n) for n, k in kinds.items()])
-    carried = _exclusive_prefix(summary, keys, "_b", kinds, levels)
-    carried = carried.select(*keys, "_b", *[F.col(n).alias(f"_c_{n}") for n in kinds])
-    w = Window.partitionBy(*keys, "_b").orderBy("_pos").rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
-    )
-    joined = base.join(carried, [*keys, "_b"])
-    return joined.select(
-        *df.columns,
-        *[_merge(k, F.col(f"_c_{n}"), _running(k, f"_v_{n}", w)).alias(n) for n, k in kinds.items()],
+    base = df.select("*", p.alias("_run_pos"), *[c.alias(f"_v_{n}") for n, (_, c) in specs.items()])
+    base = base.withColumn("_run_b", F.floor(F.col("_run_pos") / size))
+    summary = base.groupBy(*keys, "_run_b").agg(*[_reduce(k, f"_v_{n}").alias(n) for n, k in kinds.items()])
+    w = Window.partitionBy(*keys).orderBy("_run_b")
+    carried = summary.select(*keys, "_run_b", *[_over(k, n, w, 1).alias(f"_c_{n}") for n, k in kinds.items()])
+    inside = Window.partitionBy(*keys, "_run_b").orderBy("_run_pos")
+    own = base.select("*", *[_over(k, f"_v_{n}", inside, 0 if inclusive else 1).alias(f"_o_{n}") for n, k in kinds.items()])
+    return own.join(carried, [*keys, "_run_b"]).select(
+        *df.columns, *[_merge(k, F.col(f"_c_{n}"), F.col(f"_o_{n}")).alias(n) for n, k in kinds.items()]
     )
 
 
-def row_position(df: DataFrame, name: str, *, pos, keys=(KEY,), size: int = ROWS_PER_BUCKET) -> DataFrame:
+def row_position(df: DataFrame, name: str, *, pos, keys=(KEY,), size: int = ROWS_PER_RUN) -> DataFrame:
     """0-based row number along ``pos`` without a whole-series window."""
     out = running(df, {name: ("sum", F.lit(1))}, pos=pos, keys=keys, inclusive=False, size=size)
     return out.withColumn(name, F.col(name).cast("bigint"))

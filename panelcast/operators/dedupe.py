@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.buckets import ROWS_PER_BUCKET, running
+from panelcast.operators.buckets import ROWS_PER_RUN, running
 from panelcast.schemas import HOUR, KEY, TS
 
 
@@ -34,7 +34,7 @@ def stamp_gaps(df: DataFrame, *, keys=(KEY,), step: int = HOUR) -> DataFrame:
     d = df.select(*keys, TS).distinct()
     pos = F.unix_micros(TS)
     out = running(
-        d, {"_p": ("last", F.col(TS))}, pos=pos, keys=keys, inclusive=False, size=ROWS_PER_BUCKET * step * 1_000_000
+        d, {"_p": ("last", F.col(TS))}, pos=pos, keys=keys, inclusive=False, size=ROWS_PER_RUN * step * 1_000_000
     )
     return out.withColumn("gap_seconds", ((pos - F.unix_micros("_p")) / 1_000_000).cast("bigint")).drop("_p")
 
@@ -52,7 +52,7 @@ def missing_runs(df: DataFrame, column: str, *, keys=(KEY,), step: int = HOUR) -
     after = ends.select(*keys, F.timestamp_micros(F.unix_micros("_z") + us).alias(TS))
     line = seen.unionByName(after)
     prev = running(
-        line, {"_p": ("last", F.col(TS))}, pos=F.unix_micros(TS), keys=keys, inclusive=False, size=ROWS_PER_BUCKET * us
+        line, {"_p": ("last", F.col(TS))}, pos=F.unix_micros(TS), keys=keys, inclusive=False, size=ROWS_PER_RUN * us
     )
     start = F.coalesce(F.unix_micros("_p") + us, F.unix_micros("_a"))
     return (

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.buckets import ROWS_PER_BUCKET
+from panelcast.operators.order_stats import edges_below
 from panelcast.schemas import KEY
 
 SLICES = 16
@@ -102,7 +103,7 @@ def expanding_quantile(
     binned = base.join(edges, names).select(
         *names, "_pos", "_v",
         F.floor(F.col("_pos") / size).alias("_tb"),
-        F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter("_edges", lambda e: e < F.col("_v")))).cast("int").alias("_bin"),
+        F.when(F.col("_v").isNull(), -1).otherwise(edges_below(F.col("_v"), F.col("_edges"))).alias("_bin"),
         F.floor((F.floor(F.col("_pos") / size) - F.floor(F.col("_a") / size)) / width).cast("int").alias("_slice"),
         F.floor((F.floor(F.col("_z") / size) - F.floor(F.col("_a") / size)) / width).cast("int").alias("_slice_z"),
     )

@@ -15,21 +15,15 @@ def ffill(df: DataFrame, columns, *, keys=(KEY,), step: int = HOUR) -> DataFrame
 
 
 def bfill(df: DataFrame, columns, *, keys=(KEY,), step: int = HOUR) -> DataFrame:
-    filled = running(df, {f"_f_{c}": ("last", F.col(c)) for c in columns}, keys=keys, step=step, reverse=True)
+    filled = running(df, {f"_f_{c}": ("next", F.col(c)) for c in columns}, keys=keys, step=step)
     return _replace(df, filled, {c: F.col(f"_f_{c}") for c in columns})
 
 
 def ffill_bfill(df: DataFrame, columns, *, keys=(KEY,), step: int = HOUR) -> DataFrame:
-    """Forward fill, then the leading gap from the first observed value.
-
-    After a forward fill only leading slots are empty, and they all take the
-    series' first observed value: one small aggregate replaces a second pass.
-    """
-    first = df.groupBy(*keys).agg(
-        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(TS))).alias(f"_first_{c}") for c in columns]
-    )
-    filled = ffill(df, columns, keys=keys, step=step).join(first, list(keys))
-    return _replace(df, filled, {c: F.coalesce(F.col(c), F.col(f"_first_{c}")) for c in columns})
+    """Forward fill, then the leading gap from the first observed value; both in one pass."""
+    specs = {f"_f_{c}": ("last", F.col(c)) for c in columns} | {f"_n_{c}": ("next", F.col(c)) for c in columns}
+    filled = running(df, specs, keys=keys, step=step)
+    return _replace(df, filled, {c: F.coalesce(F.col(f"_f_{c}"), F.col(f"_n_{c}")) for c in columns})
 
 
 def _replace(df: DataFrame, filled: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -39,8 +33,7 @@ def _replace(df: DataFrame, filled: DataFrame, values: dict[str, Column]) -> Dat
 def neighbours(df: DataFrame, column: str, *, keys=(KEY,), step: int = HOUR) -> DataFrame:
     """Add ``_prev``/``_next``: the nearest observed (slot, value) at or before / at or after each row."""
     seen = F.when(F.col(column).isNotNull(), F.struct(slot(TS, step).alias("p"), F.col(column).alias("v")))
-    both = running(df, {"_prev": ("last", seen)}, keys=keys, step=step)
-    return running(both, {"_next": ("last", seen)}, keys=keys, step=step, reverse=True)
+    return running(df, {"_prev": ("last", seen), "_next": ("next", seen)}, keys=keys, step=step)
 
 
 def interpolate(df: DataFrame, column: str, *, out: str | None = None, keys=(KEY,), step: int = HOUR) -> DataFrame:

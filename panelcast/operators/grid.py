@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.buckets import ROWS_PER_BUCKET, over_buckets, slot
+from panelcast.operators.buckets import ROWS_PER_RUN, over_buckets, slot
 from panelcast.schemas import HOUR, KEY, TS
 
 
@@ -22,7 +22,7 @@ def spine(df: DataFrame, *, keys=(KEY,), step: int = HOUR, start=None, end=None)
     first = slot(F.lit(start).cast("timestamp"), step) if start else F.min(slot(TS, step))
     last = slot(F.lit(end).cast("timestamp"), step) if end else F.max(slot(TS, step))
     ends = df.groupBy(*keys).agg(F.min(slot(TS, step)).alias("_x"), first.alias("_a"), last.alias("_z")).drop("_x")
-    size = ROWS_PER_BUCKET
+    size = ROWS_PER_RUN
     buckets = ends.select(
         *keys, "_a", "_z", F.explode(F.sequence(F.floor(F.col("_a") / size), F.floor(F.col("_z") / size))).alias("_b")
     ).repartition(*keys, "_b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.buckets import ROWS_PER_BUCKET, running
+from panelcast.operators.buckets import ROWS_PER_RUN, running
 from panelcast.schemas import HOUR, KEY, TS
 
 
@@ -31,7 +31,7 @@ def asof_backward(left: DataFrame, right: DataFrame, columns, *, keys=(KEY,), st
     line = F.unix_micros(TS) * 2 + F.col("_side")
     out = running(
         both, {c: ("last", F.col(f"_r_{c}")) for c in columns},
-        pos=line, keys=keys, size=ROWS_PER_BUCKET * step * 2_000_000,
+        pos=line, keys=keys, size=ROWS_PER_RUN * step * 2_000_000,
     )
     return out.where(F.col("_side") == 1).select(*left.columns, *columns)
 

@@ -20,9 +20,12 @@ def value_bins(counts: DataFrame, keys, value: str, bins: int = BINS) -> DataFra
     probs = [i / bins for i in range(1, bins)]
     edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 20 * bins).alias("_edges"))
     joined = counts.join(edges, list(keys)) if keys else counts.crossJoin(edges)
-    return joined.withColumn(
-        "_bin", F.size(F.filter(F.col("_edges"), lambda e: e < F.col(value)))
-    ).drop("_edges")
+    return joined.withColumn("_bin", edges_below(F.col(value), F.col("_edges"))).drop("_edges")
+
+
+def edges_below(v: Column, edges: Column) -> Column:
+    """Number of edges below ``v``: where it lands among the sorted edges."""
+    return (F.array_position(F.sort_array(F.array_append(edges, v)), v) - 1).cast("int")
 
 
 def grouped_quantiles(
