@@ -38,7 +38,7 @@ def calendar(ts=TS, *, month_base: int = 0) -> dict[str, Column]:
 
 
 def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter by the anonymous (Meeus) computus, in integer arithmetic."""
+    """Gregorian Easter by the anonymous computus, in integer arithmetic."""
     def div(a, b):
         return F.floor(a / b)
 
@@ -47,11 +47,10 @@ def easter_sunday(year: Column) -> Column:
     g = div(8 * b + 13, 25)
     h = (19 * a + b - d - g + 15) % 30
     i, k = div(c, 4), c % 4
-    l = (32 + 2 * e + 2 * i - h - k) % 7
-    m = div(a + 11 * h + 19 * l, 433)
-    n = h + l - 7 * m + 90
-    month = div(n, 25)
-    day = (n + 33 * month + 19) % 32
+    m = div(a + 11 * h, 319)
+    r = (2 * e + 2 * i - k - h + m + 32) % 7
+    month = div(h - m + r + 90, 25)
+    day = (h - m + r + month + 19) % 32
     return F.make_date(year, month.cast("int"), day.cast("int"))
 
 
