@@ -54,11 +54,19 @@ def _(spark, d):
     return C.apply_deltas(test, table, [KEY, "horizon_h"]).select(KEY, "origin_ts", "horizon_h", "q10", "q50", "q90")
 
 
-@query("k3_adaptive_intervals")
+@query(
+    "k3_adaptive_intervals",
+    with_ctes(fc.FC, sql_deltas("dl", "series_key, horizon_h", True)).replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT w.*, coalesce(delta, 0) AS base, row_number() OVER (PARTITION BY w.series_key, w.horizon_h ORDER BY origin_ts) AS i FROM weekly w
+      LEFT JOIN dl ON w.series_key = dl.series_key AND w.horizon_h = dl.horizon_h WHERE origin_ts >= {_CUT}),
+    f AS (SELECT DISTINCT series_key, horizon_h, 0::BIGINT AS i, 0.2::DOUBLE AS a, 0.0::DOUBLE AS d FROM o UNION ALL SELECT o.series_key, o.horizon_h, o.i, f.a + 0.01::DOUBLE * (0.2::DOUBLE - CASE WHEN o.y BETWEEN o.q10 - x AND o.q90 + x THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), x
+      FROM f JOIN o ON o.series_key = f.series_key AND o.horizon_h = f.horizon_h AND o.i = f.i + 1, LATERAL (SELECT o.base * (1.0::DOUBLE + (0.2::DOUBLE - f.a) / 0.2::DOUBLE) AS x))
+    SELECT o.series_key, o.horizon_h, o.origin_ts, {r('q10 - d')} AS q10, {r('q50')} AS q50, {r('q90 + d')} AS q90 FROM o JOIN f ON o.series_key = f.series_key AND o.horizon_h = f.horizon_h AND o.i = f.i""",
+)
 def _(spark, d):
     cal, test = _parts(spark, d)
     table = C.deltas(cal, [KEY, "horizon_h"], method="higher")
-    return C.adaptive(test, table, slice_days=30)
+    out = C.adaptive(test, table, slice_days=3)
+    return out.select(KEY, "horizon_h", "origin_ts", "q10", "q50", "q90")
 
 
 _STAGES = f""", te AS (SELECT w.*, coalesce(delta, 0) AS dd FROM weekly w LEFT JOIN dl ON w.series_key = dl.series_key AND w.horizon_h = dl.horizon_h WHERE w.origin_ts >= {_CUT}),
