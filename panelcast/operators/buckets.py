@@ -74,10 +74,13 @@ def _reduce(kind: str, c: str) -> Column:
     return pick(F.col(c), F.when(F.col(c).isNotNull(), F.col("_run_pos")))
 
 
-def _over(kind: str, c: str, w, edge: int) -> Column:
-    """Running reduction up to ``edge`` rows away (``next`` looks ahead)."""
-    if kind == "next":
-        return F.first(c, ignorenulls=True).over(w.rowsBetween(edge, Window.unboundedFollowing))
+def _over(kind: str, c: str, by, order: str, edge: int) -> Column:
+    """Running reduction up to ``edge`` rows away.
+
+    ``next`` runs over the reversed order: a frame that ends at the partition's
+    end would be evaluated anew for every row.
+    """
+    w = Window.partitionBy(*by).orderBy(F.desc(order) if kind == "next" else order)
     frame = w.rowsBetween(Window.unboundedPreceding, -edge)
     if kind == "sum":
         return F.sum(c).over(frame)
@@ -108,10 +111,9 @@ def running(
     base = df.select("*", p.alias("_run_pos"), *[c.alias(f"_v_{n}") for n, (_, c) in specs.items()])
     base = base.withColumn("_run_b", F.floor(F.col("_run_pos") / size))
     summary = base.groupBy(*keys, "_run_b").agg(*[_reduce(k, f"_v_{n}").alias(n) for n, k in kinds.items()])
-    w = Window.partitionBy(*keys).orderBy("_run_b")
-    carried = summary.select(*keys, "_run_b", *[_over(k, n, w, 1).alias(f"_c_{n}") for n, k in kinds.items()])
-    inside = Window.partitionBy(*keys, "_run_b").orderBy("_run_pos")
-    own = base.select("*", *[_over(k, f"_v_{n}", inside, 0 if inclusive else 1).alias(f"_o_{n}") for n, k in kinds.items()])
+    carried = summary.select(*keys, "_run_b", *[_over(k, n, keys, "_run_b", 1).alias(f"_c_{n}") for n, k in kinds.items()])
+    inside, edge = [*keys, "_run_b"], 0 if inclusive else 1
+    own = base.select("*", *[_over(k, f"_v_{n}", inside, "_run_pos", edge).alias(f"_o_{n}") for n, k in kinds.items()])
     return own.join(carried, [*keys, "_run_b"]).select(
         *df.columns, *[_merge(k, F.col(f"_c_{n}"), F.col(f"_o_{n}")).alias(n) for n, k in kinds.items()]
     )

@@ -31,7 +31,14 @@ def mape(y="y", p="q50", floor: float = 1.0) -> Column:
 
 
 def nmae(y="y", p="q50") -> Column:
-    return F.avg(F.abs(_c(y) - _c(p))) / F.avg(F.abs(_c(y)))
+    return F.avg(F.abs(_c(y) - _c(p))) / F.nullif(F.avg(F.abs(_c(y))), F.lit(0.0))
+
+
+def corr(a, b) -> Column:
+    """Pearson correlation over complete pairs; NULL where a side does not vary (the built-in fails there)."""
+    a, b = _c(a), _c(b)
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
 def bias(y="y", p="q50") -> Column:
@@ -140,7 +147,7 @@ def reliability(scored: DataFrame, keys, levels: int = 49) -> DataFrame:
         s, keys, "_half", {f"_w{i}": 1 - a for i, a in enumerate(nominal)}, extra=(F.avg("_half").alias("_mean"),)
     ).drop("n")
     j = s.join(stats, list(keys)) if keys else s.crossJoin(stats)
-    scale = F.col("_half") / F.col("_mean")
+    scale = F.col("_half") / F.nullif(F.col("_mean"), F.lit(0.0))
     hits = [
         F.avg(((F.col("y") >= F.col("q50") - F.col(f"_w{i}") * scale) & (F.col("y") <= F.col("q50") + F.col(f"_w{i}") * scale)).cast("int")).alias(f"c{i}")
         for i in range(levels)

@@ -136,7 +136,7 @@ def two_sample(df: DataFrame, keys, value: str, second: str) -> DataFrame:
     """
     e = ecdf(df, keys, value, second)
     n1, n2 = F.col("n1"), F.col("n2")
-    gap = F.abs(F.col("cum1") / n1 - F.col("cum2") / n2)
+    gap = F.abs(F.col("cum1") / F.nullif(n1, F.lit(0)) - F.col("cum2") / F.nullif(n2, F.lit(0)))
     t = F.col("c1") + F.col("c2")
     below = F.col("cum1") + F.col("cum2") - t
     agg = e.groupBy(*keys).agg(
@@ -149,7 +149,7 @@ def two_sample(df: DataFrame, keys, value: str, second: str) -> DataFrame:
     )
     n = n1 + n2
     u = F.col("_ranks") - n2 * (n2 + 1) / 2.0
-    var = n1.cast("double") * n2 / 12.0 * ((n + 1) - F.col("_ties") / (n.cast("double") * (n - 1)))
+    var = n1.cast("double") * n2 / 12.0 * ((n + 1) - F.col("_ties") / F.nullif(n.cast("double") * (n - 1), F.lit(0.0)))
     return agg.select(
         *keys, "n1", "n2", "ks", "wasserstein", u.alias("u"),
         F.when(var > 0, (u - n1 * n2 / 2.0) / F.sqrt(var)).alias("z"),

@@ -18,7 +18,7 @@ class LinearQuantiles:
     size). Only those numbers reach the driver, for a solve of the feature count.
     """
 
-    def __init__(self, features, quantiles: dict[str, float] = QUANTILES, *, iterations: int = 12, floor: float = 1e-3, ridge: float = 1e-6):
+    def __init__(self, features, quantiles: dict[str, float] = QUANTILES, *, iterations: int = 8, floor: float = 1e-3, ridge: float = 1e-6):
         self.features, self.quantiles = list(features), dict(quantiles)
         self.iterations, self.floor, self.ridge = iterations, floor, ridge
         self.coef: dict[str, np.ndarray] | None = None
@@ -38,7 +38,7 @@ class LinearQuantiles:
         x, p = self._terms(), len(self.features) + 1
         beta = {q: None for q in self.quantiles}
         scale = None
-        for _ in range(self.iterations):
+        for step in range(self.iterations):
             sums = []
             for q, tau in self.quantiles.items():
                 if beta[q] is None:
@@ -56,9 +56,20 @@ class LinearQuantiles:
                 gram = np.array([[row[f"{q}_g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
                 rhs = np.array([row[f"{q}_r{i}"] for i in range(p)])
                 beta[q] = np.linalg.solve(gram + self.ridge * np.trace(gram) / p * np.eye(p) * 1e-3, rhs)
+            if step == 0:
+                self._level(used, beta)  # from the mean line to each quantile's level
+        self._level(used, beta)
         self.coef = beta
         return self
 
+    def _level(self, used: DataFrame, beta: dict[str, np.ndarray]) -> None:
+        """Move each intercept so that the wanted share of residuals lies below the line."""
+        shift = used.agg(*[
+            F.percentile_approx(F.col("_y") - self._line(beta[q]), tau, 10000).alias(q) for q, tau in self.quantiles.items()
+        ]).first()
+        for q in self.quantiles:
+            beta[q][0] += shift[q]
+
     def predict_quantiles(self, df: DataFrame) -> DataFrame:
         """Quantiles per row, sorted so that they do not cross."""
         if self.coef is None:

@@ -160,7 +160,7 @@ def bootstrap_mean(df: DataFrame, value: Column, row_key, *, keys=(), resamples:
     w = F.lit(0)
     for c in _POISSON:
         w = w + (u >= c).cast("int")
-    per = reps.withColumn("_w", w).groupBy(*keys, "_r").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
+    per = reps.withColumn("_w", w).groupBy(*keys, "_r").agg((F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
     tail = (1 - confidence) / 2
     ci = grouped_quantiles(per, keys, "_m", {"lower": tail, "upper": 1 - tail}).drop("n")
     point = draws.groupBy(*keys).agg(F.avg("_x").alias("point"), F.count(F.lit(1)).alias("n"))

@@ -77,7 +77,7 @@ def _(spark, d):
 def _(spark, d):
     return M.by_groups(fc.scored(spark, d), ["model"], {
         "below_q10": M.below("q10"), "below_q50": M.below("q50"), "below_q90": M.below("q90"),
-        "above_q90": F.avg((F.col("y") > F.col("q90")).cast("int")), "corr_y_width": F.corr("y", F.col("q90") - F.col("q10")),
+        "above_q90": F.avg((F.col("y") > F.col("q90")).cast("int")), "corr_y_width": M.corr("y", F.col("q90") - F.col("q10")),
     })
 
 
@@ -226,7 +226,7 @@ def _(spark, d):
     sd = t.groupBy(KEY).agg(F.stddev_samp("price").alias("_s"))
     return t.join(sd, KEY).groupBy(KEY).agg(
         F.avg("hit").alias("direction_hit"), F.sum("pnl").alias("total_pnl"), F.avg("pnl").alias("mean_pnl"),
-        (F.avg("pnl") / F.stddev_samp("pnl") * 8760**0.5).alias("sharpe"),
+        (F.avg("pnl") / F.nullif(F.stddev_samp("pnl"), F.lit(0.0)) * 8760**0.5).alias("sharpe"),
         F.avg(F.when(F.col("move") > F.col("_s"), F.col("hit"))).alias("volatile_hit"), F.count(F.lit(1)).alias("n"),
     )
 

@@ -320,7 +320,7 @@ def _(spark, d):
     names = {f"q{i}": p for i, p in enumerate(_NORMAL)}
     q = grouped_quantiles(pn.hourly(spark, d), [KEY], "price", names, extra=(F.avg("price").alias("m"), F.stddev_samp("price").alias("s")))
     rows = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.lit(z).alias("normal"), ((F.col(f"q{i}") - F.col("m")) / F.col("s")).alias("sample")) for i, (p, z) in enumerate(_NORMAL.items())
+        F.struct(F.lit(p).alias("p"), F.lit(z).alias("normal"), ((F.col(f"q{i}") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0))).alias("sample")) for i, (p, z) in enumerate(_NORMAL.items())
     ])
     return q.select(KEY, F.inline(rows))
 

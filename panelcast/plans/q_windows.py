@@ -188,7 +188,7 @@ _DF = pn.D + ",\n" + pn.sql_filled("df", "d", ["price"])
 )
 def _(spark, d):
     p = fills.ffill_bfill(pn.daily(spark, d).select(KEY, TS, "price"), ["price"], step=DAY)
-    ret = over_buckets(p, {"log_return": lambda w: F.ln(F.col("price") / F.lag("price").over(w))}, back=1, step=DAY)
+    ret = over_buckets(p, {"log_return": lambda w: F.ln(F.col("price") / F.nullif(F.lag("price").over(w), F.lit(0.0)))}, back=1, step=DAY)
 
     def vol(w):
         f = w.rowsBetween(-19, 0)
