@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.operators.order_stats import grouped_quantiles
+from panelcast.operators.order_stats import attach, grouped_quantiles
 from panelcast.schemas import KEY
 from panelcast.session import materialize
 
@@ -34,7 +34,7 @@ def deltas(calibration: DataFrame, keys, alpha: float = 0.2, method: str = "line
 def apply_deltas(forecasts: DataFrame, table: DataFrame, keys) -> DataFrame:
     """Widen q10/q90 by the key's delta; keys without one stay as they are, q50 is untouched."""
     d = table.select(*keys, F.col("delta").alias("_d"))
-    joined = forecasts.join(d, list(keys), "left") if keys else forecasts.crossJoin(d)
+    joined = attach(forecasts, d, keys, "left")
     by = F.coalesce(F.col("_d"), F.lit(0.0))
     return joined.withColumns({"q10": F.col("q10") - by, "q90": F.col("q90") + by}).drop("_d")
 
@@ -81,6 +81,8 @@ def adaptive(
     if ends["a"] is None:
         return forecasts.select(*cols).withColumn("level_after", F.lit(None).cast("double"))
     out_schema = T.StructType([*[f for f in forecasts.select(*cols).schema.fields], T.StructField("level_after", T.DoubleType())])
+    if ends["z"] > ends["a"]:
+        rows = materialize(rows)  # every slice reads it; its slice filter reaches the scan
     done, state = None, None
     for s in range(ends["a"], ends["z"] + 1):
         part = rows.where(F.col("_slice") == s).drop("_slice")

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.order_stats import grouped_quantiles
+from panelcast.operators.order_stats import attach, grouped_quantiles
 from panelcast.schemas import KEY, TS
 
-# Battery of the reference experiments.
+# Capacity (MWh), power limit (MW), round-trip efficiency, step length (h).
 CAPACITY, POWER, EFFICIENCY, HOURS = 100.0, 50.0, 0.90, 1.0
 ROOT = math.sqrt(EFFICIENCY)
 
@@ -25,7 +25,7 @@ def episodes(df: DataFrame, keys=(KEY,), ts: str = TS) -> DataFrame:
 def rank_actions(df: DataFrame, by: str, keys=(KEY,), k: int = 2, spread: Column | None = None) -> DataFrame:
     """``action`` -1 (charge) in the ``k`` cheapest and +1 (discharge) in the ``k`` dearest steps of an episode.
 
-    Charging wins where both apply. ``spread`` may veto an episode's trades.
+    Charging wins where both apply. Steps where the ``spread`` condition fails are not traded.
     """
     lo = Window.partitionBy(*keys, "episode").orderBy(by, "step")
     hi = Window.partitionBy(*keys, "episode").orderBy(F.desc(by), F.desc("step"))
@@ -88,7 +88,7 @@ def tail_means(df: DataFrame, keys, value: str, levels=(0.01, 0.05, 0.10, 0.20))
     """Mean of the values at or below each tail quantile, one row per level."""
     names = {f"_t{i}": a for i, a in enumerate(levels)}
     cut = grouped_quantiles(df, keys, value, names).drop("n")
-    j = df.join(cut, list(keys)) if keys else df.crossJoin(cut)
+    j = attach(df, cut, keys)
     wide = j.groupBy(*keys).agg(*[F.avg(F.when(F.col(value) <= F.col(t), F.col(value))).alias(t) for t in names])
     rows = F.array(*[F.struct(F.lit(a).alias("level"), F.col(t).alias("cvar")) for t, a in names.items()])
     return wide.select(*keys, F.inline(rows))
@@ -105,7 +105,7 @@ def summary(profits: DataFrame, keys, value: str = "profit") -> DataFrame:
         ),
     ).drop("n")
     tail = tail_means(profits, keys, value, (0.05,)).select(*keys, F.col("cvar").alias("cvar_5pct"))
-    return q.join(tail, list(keys)) if keys else q.crossJoin(tail)
+    return attach(q, tail, keys)
 
 
 def hourly_profile(steps: DataFrame, keys=()) -> DataFrame:
@@ -117,7 +117,7 @@ def hourly_profile(steps: DataFrame, keys=()) -> DataFrame:
 def capture_ratio(summaries: DataFrame, policy: str = "policy", best: str = "greedy") -> DataFrame:
     """Each policy's mean profit, its difference to the best policy and the share captured."""
     top = summaries.where(F.col(policy) == best).agg(F.first("mean").alias("_best"))
-    return summaries.crossJoin(top).select(
+    return attach(summaries, top, ()).select(
         policy, "mean", (F.col("mean") - F.col("_best")).alias("delta"), (F.col("mean") / F.nullif(F.col("_best"), F.lit(0.0))).alias("capture")
     )
 

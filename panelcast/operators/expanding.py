@@ -4,7 +4,8 @@ A running order statistic needs the whole past of a series, which a window frame
 would keep in one task. Here the values are cut into value bins first. Counting
 alone (a running histogram, carried per time bucket) tells in which bin the
 wanted order statistic of a row lies and at which rank; only the values of that
-one bin are then ordered, again split into time slices.
+one bin are then ordered, again split into time slices. A task holds one bin of
+one series, so ``bins`` should grow with the longest series.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.predicates import horizon_group
-from panelcast.operators.order_stats import grouped_quantiles
+from panelcast.operators.order_stats import attach, grouped_quantiles
 from panelcast.schemas import QUANTILES
 
 
@@ -114,7 +114,8 @@ def leaderboard(scored: DataFrame, keys, metrics: dict[str, Column] | None = Non
 def segment_metrics(scored: DataFrame, flags: dict[str, Column], metrics: dict[str, Column], keys=()) -> DataFrame:
     """One row per key and segment; a segment without rows is kept with NULL metrics.
 
-    Membership is an aggregate FILTER, so overlapping segments cost no row copies.
+    Segments overlap, so a row counts once in each of its (at most nine) segments;
+    the copies are combined per segment before anything is shuffled.
     """
     marked = scored.withColumn("_seg", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()])))
     per = marked.withColumn("segment", F.explode("_seg")).groupBy(*keys, "segment").agg(*[c.alias(n) for n, c in metrics.items()])
@@ -126,7 +127,7 @@ def segment_metrics(scored: DataFrame, flags: dict[str, Column], metrics: dict[s
 def with_threshold(scored: DataFrame, keys, y: str = "y", q: float = 0.9, out: str = "threshold") -> DataFrame:
     """Attach the group's exact ``q`` quantile of the truth."""
     t = grouped_quantiles(scored, keys, y, {out: q}).drop("n")
-    return scored.join(t, list(keys)) if keys else scored.crossJoin(t)
+    return attach(scored, t, keys)
 
 
 def spike_mae(scored: DataFrame, keys, q: float = 0.9) -> DataFrame:
@@ -146,7 +147,7 @@ def reliability(scored: DataFrame, keys, levels: int = 49) -> DataFrame:
     stats = grouped_quantiles(
         s, keys, "_half", {f"_w{i}": 1 - a for i, a in enumerate(nominal)}, extra=(F.avg("_half").alias("_mean"),)
     ).drop("n")
-    j = s.join(stats, list(keys)) if keys else s.crossJoin(stats)
+    j = attach(s, stats, keys)
     scale = F.col("_half") / F.nullif(F.col("_mean"), F.lit(0.0))
     hits = [
         F.avg(((F.col("y") >= F.col("q50") - F.col(f"_w{i}") * scale) & (F.col("y") <= F.col("q50") + F.col(f"_w{i}") * scale)).cast("int")).alias(f"c{i}")

@@ -15,11 +15,16 @@ from pyspark.sql import functions as F
 BINS = 64
 
 
+def attach(df: DataFrame, table: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join a table with one row per key. Without keys it is a single aggregate row, added to every row."""
+    return df.join(table, list(keys), how) if keys else df.crossJoin(table)
+
+
 def value_bins(counts: DataFrame, keys, value: str, bins: int = BINS) -> DataFrame:
     """Add ``_bin``: index of the value bin within the group. ``counts`` has one row per (keys, value)."""
     probs = [i / bins for i in range(1, bins)]
     edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 20 * bins).alias("_edges"))
-    joined = counts.join(edges, list(keys)) if keys else counts.crossJoin(edges)
+    joined = attach(counts, edges, keys)
     return joined.withColumn("_bin", edges_below(F.col(value), F.col("_edges"))).drop("_edges")
 
 
@@ -88,7 +93,7 @@ def grouped_quantiles(
     result = picked.select(*keys, "n", *cols)
     if extra:
         sums = df.groupBy(*keys).agg(*extra)
-        result = sums.join(result, keys, "left") if keys else sums.crossJoin(result)
+        result = attach(sums, result, keys, "left")
     return result
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.buckets import over_buckets, row_position, slot
-from panelcast.operators.order_stats import grouped_quantiles
+from panelcast.operators.order_stats import attach, grouped_quantiles
 from panelcast.schemas import HOUR, KEY
 
 
@@ -110,7 +110,7 @@ def diebold_mariano(
         d = over_buckets(
             d, {f"_l{k}": (lambda w, k=k: F.lag("d", k).over(w)) for k in range(1, horizon)}, pos="_rp", keys=keys, back=horizon - 1
         )
-    j = d.join(mean, keys) if keys else d.crossJoin(mean)
+    j = attach(d, mean, keys)
     x = F.col("d") - F.col("m")
     for k in range(1, horizon):
         lags[f"_g{k}"] = F.covar_samp("d", f"_l{k}") if weights == "bartlett" else F.avg(x * (F.col(f"_l{k}") - F.col("m")))
@@ -164,4 +164,4 @@ def bootstrap_mean(df: DataFrame, value: Column, row_key, *, keys=(), resamples:
     tail = (1 - confidence) / 2
     ci = grouped_quantiles(per, keys, "_m", {"lower": tail, "upper": 1 - tail}).drop("n")
     point = draws.groupBy(*keys).agg(F.avg("_x").alias("point"), F.count(F.lit(1)).alias("n"))
-    return point.join(ci, keys) if keys else point.crossJoin(ci)
+    return attach(point, ci, keys)

@@ -128,3 +128,18 @@ def test_online_state_across_batches(spark, tmp_path):
         delta = max(0.0, delta + 0.005 * (err - 0.2))
         assert r["delta"] == pytest.approx(delta, abs=1e-12)
     assert out[19]["delta"] > 0 and out[-1]["delta"] == 0
+
+
+def test_risk_monitor_equals_batch(spark, hourly, tmp_path):
+    from panelcast.operators.rolling import shaped_profit
+
+    x = [float((i * 37) % 23 - 11) for i in range(60)]
+    df = hourly({"a": x, "b": x[::-1]}, "profit")
+    folder, cut = str(tmp_path / "in"), F.lit("2023-01-02").cast("timestamp")
+    df.where(F.col(TS) < cut).coalesce(1).write.mode("append").parquet(folder)
+    df.where(F.col(TS) >= cut).coalesce(1).write.mode("append").parquet(folder)
+    got = run_available(S.risk_monitor(stream_folder(spark, folder, files_per_batch=1), window=12), "risk").orderBy(KEY, TS).collect()
+    want = shaped_profit(df, "profit", window=12).orderBy(KEY, TS).collect()
+    assert len(got) == 120
+    for g, w in zip(got, want):
+        assert g["shaped_profit"] == pytest.approx(w["shaped_profit"]) and g["rolling_cvar"] == pytest.approx(w["rolling_cvar"])

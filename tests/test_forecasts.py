@@ -185,3 +185,12 @@ def test_greedy_beats_idle_and_incomplete_days_are_left_out(hourly):
     assert D.episode_profits(g).where("profit <= 0").count() == 0
     idle = D.simulate(D.hourly_actions(e, (), ()), F.col("action") * D.POWER)
     assert idle.where("profit <> 0 OR soc <> 50").count() == 0
+
+
+def test_forecast_driven_policy_settles_at_actual_prices(hourly):
+    q, y = list(range(24)), list(range(24))[::-1]
+    df = hourly({"a": q}, "q50").join(hourly({"a": y}), [KEY, TS])
+    acted = D.rank_actions(D.episodes(df), "q50", spread=F.col("step") != 23)
+    got = {r["step"]: r for r in D.simulate(acted, F.col("action") * D.POWER).collect()}
+    assert {k for k, r in got.items() if r["power"] != 0} == {0, 1, 22}
+    assert got[0]["profit"] == pytest.approx(23 * got[0]["power"]) and got[22]["profit"] == pytest.approx(1 * got[22]["power"])

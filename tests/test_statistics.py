@@ -149,3 +149,17 @@ def test_linear_quantiles(spark):
     share = m.predict_quantiles(df).agg(*[F.avg((F.col("y") < F.col(q)).cast("int")).alias(q) for q in ("q10", "q50", "q90")]).first()
     assert share["q10"] == pytest.approx(0.1, abs=0.02) and share["q50"] == pytest.approx(0.5, abs=0.02) and share["q90"] == pytest.approx(0.9, abs=0.02)
     assert m.coef["q50"][1] == pytest.approx(2.0, abs=0.05)
+
+
+def test_window_fill_blend_and_smoothing(spark, hourly):
+    x = [None if i % 5 == 2 else float(i) for i in range(50)]
+    df = interpolate(hourly({"a": x}, "v"), "v", out="other")
+    got = Q.window_fill(df, "v", Q.whittaker_fit, length=20, other="other").orderBy(TS).collect()
+    assert len(got) == 40
+    for i, r in enumerate(got):
+        assert r["filled"] == pytest.approx(float(i), abs=1e-2) and (x[i] is None or r["filled"] == x[i])
+    held = spark.createDataFrame([("a", 1.0, 0.0, 2.0), ("a", 2.0, 1.0, 3.0), ("b", 9.0, 0.0, 1.0), ("c", -9.0, 0.0, 1.0)], "k string, y double, first double, second double")
+    assert {r["k"]: r["weight"] for r in Q.blend_weight(held, ["k"]).collect()} == {"a": pytest.approx(0.5, abs=1e-6), "b": 1.0, "c": 0.0}
+    s = Q.smooth_imputed(hourly({"a": [3, 9, 1, 6]}, "v"), "v", F.lit(True)).orderBy(TS).collect()
+    assert [r["mean_smoothed"] for r in s] == pytest.approx([4, 13 / 3, 16 / 3, 7 / 3])
+    assert [r["median_smoothed"] for r in s] == [3, 3, 6, 6]
