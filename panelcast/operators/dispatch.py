@@ -89,7 +89,7 @@ def tail_means(df: DataFrame, keys, value: str, levels=(0.01, 0.05, 0.10, 0.20))
     names = {f"_t{i}": a for i, a in enumerate(levels)}
     cut = grouped_quantiles(df, keys, value, names).drop("n")
     j = attach(df, cut, keys)
-    wide = j.groupBy(*keys).agg(*[F.avg(F.when(F.col(value) <= F.col(t), F.col(value))).alias(t) for t in names])
+    wide = j.groupBy(*keys).agg(*[F.coalesce(F.avg(F.when(F.col(value) <= F.col(t), F.col(value))), F.max(t)).alias(t) for t in names])
     rows = F.array(*[F.struct(F.lit(a).alias("level"), F.col(t).alias("cvar")) for t, a in names.items()])
     return wide.select(*keys, F.inline(rows))
 

@@ -68,7 +68,8 @@ def tail_mean(df: DataFrame, values: str, out: str, alpha: float) -> DataFrame:
     """Add the mean of the values at or below the linear ``alpha`` quantile of a short array (0 if empty)."""
     p = pinned(pinned(df, _sorted=F.array_sort(values)), _cut=F.when(F.size(values) > 0, linear_quantile(F.col("_sorted"), alpha)))
     p = pinned(p, _tail=F.filter("_sorted", lambda x: x <= F.col("_cut")))
-    mean = F.aggregate("_tail", F.lit(0.0), lambda a, x: a + x) / F.size("_tail")
+    mean = F.aggregate("_tail", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("_tail"), F.lit(0))
+    mean = F.coalesce(mean, F.col("_cut"))  # an empty tail is its own threshold
     return p.withColumn(out, F.when(F.size(values) > 0, mean).otherwise(F.lit(0.0))).drop("_sorted", "_cut", "_tail")
 
 

@@ -69,7 +69,7 @@ def _(spark, d):
 @query(
     "b5_episode_summary",
     sim_sql("greedy", f""", pr AS (SELECT series_key, episode, sum(profit) AS profit FROM sim GROUP BY 1, 2)
-    SELECT p.series_key, {r('avg(profit)')} AS mean, {r('stddev_pop(profit)')} AS std, {r('quantile_cont(profit, 0.5)')} AS median, {r('avg(profit) FILTER (profit <= c)')} AS cvar_5pct, {r('avg(profit) / stddev_pop(profit)')} AS sharpe,
+    SELECT p.series_key, {r('avg(profit)')} AS mean, {r('stddev_pop(profit)')} AS std, {r('quantile_cont(profit, 0.5)')} AS median, {r('coalesce(avg(profit) FILTER (profit <= c), max(c))')} AS cvar_5pct, {r('avg(profit) / stddev_pop(profit)')} AS sharpe,
     {r('quantile_cont(profit, 0.1)')} AS p10, {r('quantile_cont(profit, 0.9)')} AS p90, count(*) AS n_episodes, {r('avg((profit < 0)::INTEGER)')} AS loss_rate FROM pr p JOIN (SELECT series_key, quantile_cont(profit, 0.05) AS c FROM pr GROUP BY 1) q ON p.series_key = q.series_key GROUP BY 1"""),
 )
 def _(spark, d):
@@ -80,7 +80,7 @@ def _(spark, d):
     "b6_tail_means",
     sim_sql("greedy", f""", pr AS (SELECT series_key, episode, sum(profit) AS profit FROM sim GROUP BY 1, 2), lv AS (SELECT unnest([0.01, 0.05, 0.1, 0.2])::DOUBLE AS level),
     cs AS (SELECT 0.01::DOUBLE AS level, quantile_cont(profit, 0.01) AS c FROM pr UNION ALL SELECT 0.05, quantile_cont(profit, 0.05) FROM pr UNION ALL SELECT 0.1, quantile_cont(profit, 0.1) FROM pr UNION ALL SELECT 0.2, quantile_cont(profit, 0.2) FROM pr)
-    SELECT level, {r('avg(profit)')} AS cvar FROM pr JOIN cs ON profit <= c GROUP BY 1"""),
+    SELECT level, {r('coalesce(avg(profit) FILTER (profit <= c), max(c))')} AS cvar FROM pr, cs GROUP BY 1"""),
 )
 def _(spark, d):
     return D.tail_means(materialize(D.episode_profits(_greedy(spark, d))), [], "profit")

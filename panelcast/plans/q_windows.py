@@ -271,7 +271,7 @@ def _(spark, d):
 @query(
     "w19_rolling_tail_risk",
     with_ctes(pn.HF) + f"""SELECT series_key, ts, {r('c')} AS rolling_cvar, {r('profit - coalesce(0.1 * greatest(0, -c), 0)')} AS shaped_profit FROM (SELECT series_key, ts, profit, CASE WHEN len(l) >= 4 THEN
-    list_avg(list_filter(l, lambda x: x <= q)) END AS c FROM (SELECT *, list_aggregate(l, 'quantile_cont', 0.05) AS q FROM (SELECT series_key, ts, price - 50 AS profit, list(price - 50) OVER (PARTITION BY series_key ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS l FROM hf)))""",
+    coalesce(list_avg(list_filter(l, lambda x: x <= q)), q) END AS c FROM (SELECT *, list_aggregate(l, 'quantile_cont', 0.05) AS q FROM (SELECT series_key, ts, price - 50 AS profit, list(price - 50) OVER (PARTITION BY series_key ORDER BY ts ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS l FROM hf)))""",
 )
 def _(spark, d):
     h = pn.hourly_filled(spark, d).select(KEY, TS, (F.col("price") - 50).alias("profit"))
