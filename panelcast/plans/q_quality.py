@@ -243,7 +243,7 @@ _LAM = "(ks * sqrt(n1::DOUBLE * n2 / (n1 + n2)))"
     ac AS (SELECT series_key, metric, sum(x * x7) / sum(x * x) AS acf FROM lg GROUP BY 1, 2)
     SELECT ap.series_key, ap.metric, {r('nan_rate_raw')} AS nan_rate_raw, n_observed, n_imputed, {r('mean_observed')} AS mean_observed, {r('mean_imputed')} AS mean_imputed, {r('std_observed')} AS std_observed, {r('std_imputed')} AS std_imputed, {r('ks')} AS ks, {r('wasserstein')} AS wasserstein, {r('p')} AS ks_pvalue, {r('acf')} AS acf_7,
     CASE WHEN abs(mean_imputed - mean_observed) / std_observed > 1 OR std_imputed / std_observed < 0.3 OR sign(mean_imputed) <> sign(mean_observed) THEN 'red' WHEN abs(mean_imputed - mean_observed) / std_observed > 0.5 OR p < 0.01 THEN 'yellow' ELSE 'green' END AS status,
-    ((abs(mean_imputed - mean_observed) / std_observed > 0.5)::INTEGER + (std_imputed / std_observed < 0.3)::INTEGER + (p < 0.01)::INTEGER)::INTEGER AS n_reasons FROM ap JOIN ac ON ap.series_key = ac.series_key AND ap.metric = ac.metric""",
+    ((abs(mean_imputed - mean_observed) / std_observed > 0.5)::INTEGER + (std_imputed / std_observed < 0.3)::INTEGER + (p < 0.01)::INTEGER)::INTEGER AS n_reasons FROM ap JOIN ac ON ap.series_key = ac.series_key AND ap.metric = ac.metric WHERE nan_rate_raw > 0""",
 )
 def _(spark, d):
     a = Q.static_audit(_cells(spark, d), lags=(1, 7), step=DAY)
