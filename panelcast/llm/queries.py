@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe_tree, decontam
+from panelcast.llm import bpe_tree, decontam, secret_ledger, simhash_ball, token_store, url_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +54,63 @@ FROM doc LEFT JOIN n ON doc.doc_id = n.doc_id LEFT JOIN i ON doc.doc_id = i.doc_
 )
 def op10(spark, folder):
     return decontam.flags(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_SECRETS = (
+    ("assign", r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
+    ("url_password", r"[a-z][a-z0-9+.-]{1,19}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{1,64}@", 0, 0),
+)
+
+
+@query(
+    "op2_secret_scan",
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS kind, {i} AS ord, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', {g}) AS vs, {n} AS least FROM d"
+        for i, (k, p, g, n) in enumerate(_SECRETS)
+    )
+    + """), e AS (SELECT doc_id, kind, ord, least, gaps, ms, vs, unnest(range(1, len(ms) + 1)) AS i FROM m),
+s AS (SELECT doc_id, kind, ord, (list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0))::BIGINT AS b,
+  length(ms[i]) AS l FROM e WHERE length(vs[i]) >= least),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(concat_ws(':', kind, b::VARCHAR, (b + l)::VARCHAR), ',' ORDER BY b, ord) FILTER (ord < 3) AS base,
+  string_agg(concat_ws(':', kind, b::VARCHAR, (b + l)::VARCHAR), ',' ORDER BY b, ord) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON d.doc_id = a.doc_id""",
+)
+def op2(spark, folder):
+    return secret_ledger.summary(secret_ledger.scan(table(spark, folder, "documents")))
+
+
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@query(
+    "op9_url_filter",
+    """WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM u),
+p AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM h),
+r(rhost, rpath, v) AS (VALUES """
+    + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    + """)
+SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, coalesce(arg_max(v, length(rhost || rpath)), 'allow') AS verdict
+FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, host, path""",
+)
+def op9(spark, folder):
+    return url_digest.judge(table(spark, folder, "pages"), URL_RULES)
+
+
+@query("op1_token_store")
+def op1(spark, folder):
+    return token_store.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_simhash_ball")
+def op7(spark, folder):
+    return simhash_ball.near_duplicates(table(spark, folder, "documents"))
