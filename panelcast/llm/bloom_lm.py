@@ -102,11 +102,11 @@ def _built(keys: np.ndarray, counts: np.ndarray) -> bytes:
 class Filter:
     """Some neighbouring segments of the whole filter."""
 
-    def __init__(self, first: int, segments: list[bytes], n_segments: int):
-        self.first, self.n_segments, self.n = first, n_segments, len(segments)
-        sizes = np.array([len(s) * 8 // BLOCK for s in segments], np.int64)
-        self._blocks, self._begin = sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self._bits = np.frombuffer(b"".join(segments), np.uint8)
+    def __init__(self, first: int, sizes: list[int], bits: bytes, n_segments: int):
+        self.first, self.n_segments, self.n = first, n_segments, len(sizes)
+        self._blocks = np.array(sizes, np.int64) * 8 // BLOCK
+        self._begin = np.concatenate([[0], np.cumsum(self._blocks)[:-1]]).astype(np.int64)
+        self._bits = np.frombuffer(bits, np.uint8)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key by probing upwards; zero for keys of other segments."""
@@ -130,3 +130,243 @@ class Filter:
 
 def held_out_ids(ids):
     return F.coalesce(F.pmod(F.crc32(F.col(ids).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
+
+
+def _texts(b: pa.RecordBatch):
+    """Slices of few texts: ``(slice, all words, number of words of each text)``."""
+    for at in range(0, b.num_rows, ROWS):
+        part = b.slice(at, ROWS)
+        cut = [(t.as_py() or "").encode().lower().split() for t in part.column("text")]  # bytes: A-Z and the six ASCII spaces only
+        yield part, [w for words in cut for w in words], np.array([len(words) for words in cut], np.int64)
+
+
+def token_counts(texts: DataFrame) -> DataFrame:
+    """``(token binary, n long)``, the end token included."""
+
+    def run(batches):
+        held: Counter[bytes] = Counter()
+        for b in batches:
+            for _, words, sizes in _texts(b):
+                held.update(words)
+                held[END] += len(sizes)
+                if len(held) >= 1 << 18:
+                    yield pa.RecordBatch.from_pydict({"token": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
+                    held = Counter()
+        yield pa.RecordBatch.from_pydict({"token": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
+
+    return texts.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def _hashes(words: list[bytes], sizes: np.ndarray) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+    """(position of each distinct word, hashes of these, hash of each token with ends, hash of the token before)."""
+    known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    own = np.fromiter(map(_token_hash, known), np.uint64, len(known))
+    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    is_end = np.zeros(len(words) + len(sizes), bool)
+    is_end[ends] = True
+    place = np.full(len(is_end), len(known))  # the end token stands after the distinct words
+    place[~is_end] = at
+    h = np.append(own, _STOP)[place]
+    before = np.concatenate([[_START], h[:-1]]).astype(np.uint64)
+    before[np.concatenate([[0], ends[:-1] + 1])] = _START
+    return known, place, h, before
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _by_segment(keys: np.ndarray, counts: np.ndarray, n_segments: int, pairs: bool):
+    """Sorted keys as one row a segment, keys and counts packed."""
+    seg = _segment(keys, n_segments)
+    bounds = np.searchsorted(seg, np.arange(n_segments + 1))
+    full = np.flatnonzero(np.diff(bounds))
+    yield pa.RecordBatch.from_pydict({
+        "seg": pa.array(full, pa.int32()), "pairs": pa.array([pairs] * len(full)),
+        "keys": pa.array([keys[bounds[i] : bounds[i + 1]].tobytes() for i in full], pa.binary()),
+        "counts": pa.array([counts[bounds[i] : bounds[i + 1]].astype("<i8").tobytes() for i in full], pa.binary()),
+    })
+
+
+PACKED = "seg int, pairs boolean, keys binary, counts binary"
+
+
+def _pair_rows(texts: DataFrame, n_segments: int) -> DataFrame:
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            for _, words, sizes in _texts(b):
+                _, _, h, before = _hashes(words, sizes)
+                held.append(_pair_keys(before, h))
+                n += len(h)
+                if n >= FLUSH:
+                    yield from _by_segment(*_summed(np.concatenate(held), None), n_segments, True)
+                    held, n = [], 0
+        if held:
+            yield from _by_segment(*_summed(np.concatenate(held), None), n_segments, True)
+
+    return texts.select("text").mapInArrow(run, PACKED)
+
+
+def _token_rows(counts: DataFrame, n_segments: int) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            hashes = np.array([int(_STOP) if t == END else _token_hash(t) for t in b.column("token").to_pylist()], np.uint64)
+            yield from _by_segment(*_summed(_single_keys(hashes), np.asarray(b.column("n"))), n_segments, False)
+
+    return counts.select("token", "n").mapInArrow(run, PACKED)
+
+
+def _build(group: pa.Table) -> pa.Table:
+    """One segment: its filter, and what its pairs say about recurrence."""
+    pairs = np.asarray(whole(group.column("pairs")))
+    unpack = lambda name, kind_, mask: np.concatenate([np.frombuffer(x, kind_) for x, m in zip(group.column(name).to_pylist(), mask, strict=True) if m] or [np.zeros(0, kind_)])
+    sums = [_summed(unpack("keys", "<u8", mask), unpack("counts", "<i8", mask)) for mask in (pairs, ~pairs)]
+    n = sums[0][1]
+    keys, counts = (np.concatenate([s[i] for s in sums]) for i in (0, 1))
+    return pa.table({
+        "seg": pa.array([group.column("seg")[0].as_py()], pa.int32()), "filter": pa.array([_built(keys, counts)], pa.binary()),
+        "occurrences": pa.array([int(n.sum())], pa.int64()), "recurring": pa.array([int(n[n > 1].sum())], pa.int64()),
+    })
+
+
+def filter_table(texts: DataFrame, counts: DataFrame, n_segments: int) -> DataFrame:
+    """``(seg, filter binary, occurrences, recurring)``; a segment holds about ``SEGMENT_TOKENS`` pair occurrences at most."""
+    rows = _pair_rows(texts, n_segments).unionByName(_token_rows(counts, n_segments))
+    return rows.groupBy("seg").applyInArrow(_build, "seg int, filter binary, occurrences long, recurring long")
+
+
+def _hot(counts: DataFrame, hot_tokens: int) -> dict[bytes, int]:
+    """The tokens of the highest counts: as many count classes (eight to a doubling) as keep within ``hot_tokens`` tokens."""
+    ranked = counts.where((F.octet_length("token") <= LONGEST_HOT) & (F.col("token") != F.lit(END))).withColumn("class", F.floor(F.log2("n") * 8))
+    chosen, total = None, 0
+    for row in sorted(ranked.groupBy("class").count().collect(), reverse=True):  # at most 8 x 63 rows
+        total += row["count"]
+        if total > hot_tokens:
+            break
+        chosen = row["class"]
+    if chosen is None:
+        return {}
+    table = ranked.where(F.col("class") >= chosen).select("token", "n").toArrow()
+    return dict(zip(table.column("token").to_pylist(), table.column("n").to_pylist(), strict=True))
+
+
+def _groups(sizes: list[tuple[int, int]], limit: int) -> list[list[int]]:
+    out, held = [], 0
+    for seg, size in sorted(sizes):
+        if not out or held + size > limit:
+            out.append([])
+            held = 0
+        out[-1].append(seg)
+        held += size
+    return out
+
+
+def score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_tokens: int = HOT_TOKENS, filter_bytes: int = FILTER_BYTES, segment_tokens: int = SEGMENT_TOKENS,
+) -> DataFrame:
+    """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row."""
+    spark = docs.sparkSession
+    base = narrow(docs, id=id_col, text=text_col).withColumn("held_out", held_out_ids("id"))
+    training = base.where("NOT held_out")
+    counts = materialize(token_counts(training))
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("token") == F.lit(END), F.col("n"))), F.lit(0)).alias("texts")).first()
+    n, v, texts = size["n"], size["v"] if size["n"] else 0, size["texts"]
+    n_segments = max(1, -(-n // segment_tokens))
+    table = materialize(filter_table(training, counts, n_segments))
+    shares = table.agg(F.sum("occurrences").alias("all"), F.sum("recurring").alias("again")).first()
+    weight = min(0.95, max(0.05, (shares["again"] or 0) / max(1, shares["all"] or 0)))
+    sizes = [(r["seg"], r["size"]) for r in table.select("seg", F.octet_length("filter").alias("size")).collect()]  # one row a segment
+    groups = _groups(sizes, filter_bytes) or [[]]
+    hot = spark.sparkContext.broadcast(_hot(counts, hot_tokens))
+    state = base.select("id", "text", "held_out", F.lit(None).cast("binary").alias("single"), F.lit(None).cast("binary").alias("pair"))
+    for number, segments in enumerate(groups):
+        held = {r["seg"]: bytes(r["filter"]) for r in table.where(F.col("seg").isin(segments)).collect()} if segments else {}
+        span = [held.get(s, bytes(BLOCK // 8)) for s in range(min(segments, default=0), max(segments, default=-1) + 1)]
+        part = spark.sparkContext.broadcast((min(segments, default=0), [len(x) for x in span], b"".join(span), n_segments))
+        del held, span
+        if number < len(groups) - 1:
+            state = materialize(_probed(state, part))
+        else:
+            scored = _scored(state, part, hot, n, v, texts, weight)
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()))
+    rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("token"), F.col("r.times").alias("times"))
+    known = rest.join(counts, "token").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"))
+    out = scored.drop("rest", "times").join(known, "row", "left")
+    return out.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
+    )
+
+
+_HELD: list = [None, None]
+
+
+def _filter_of(broadcast) -> Filter:
+    """One filter is kept in a worker process, next to the broadcast value that it reads."""
+    if _HELD[0] is not broadcast.value:
+        _HELD[:] = [broadcast.value, Filter(*broadcast.value)]
+    return _HELD[1]
+
+
+def _levels_of(part, words, sizes, table: Filter):
+    """Levels of the distinct words and the end, and of all pairs, joined with those of earlier groups."""
+    known, place, h, before = _hashes(words, sizes)
+    own = np.append(np.fromiter(map(_token_hash, known), np.uint64, len(known)), _STOP)
+    single = table.level(_single_keys(own))[place]
+    pair = table.level(_pair_keys(before, h))
+    for name, value in (("single", single), ("pair", pair)):
+        old = part.column(name)
+        if old.null_count < len(old):
+            np.maximum(value, np.frombuffer(b"".join(old.to_pylist()), np.uint8), out=value)
+    return known, place, single, pair
+
+
+def _probed(state: DataFrame, part_of_filter) -> DataFrame:
+    def run(batches):
+        table = _filter_of(part_of_filter)
+        for b in batches:
+            for part, words, sizes in _texts(b):
+                _, _, single, pair = _levels_of(part, words, sizes, table)
+                bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
+                columns = {n: pa.array([x[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for n, x in (("single", single), ("pair", pair))}
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "text": part.column("text"), "held_out": part.column("held_out"), **columns})
+
+    return state.mapInArrow(run, f"id {kind(state)}, text string, held_out boolean, single binary, pair binary")
+
+
+def _scored(state: DataFrame, part_of_filter, hot, n: int, v: int, texts: int, weight: float) -> DataFrame:
+    def run(batches):
+        table, exact = _filter_of(part_of_filter), hot.value
+        for b in batches:
+            for part, words, sizes in _texts(b):
+                known, place, single, pair = _levels_of(part, words, sizes, table)
+                starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+                token = quantised(single)
+                before = np.concatenate([[0.0], token[:-1]])
+                before[starts] = texts
+                alone = (token + 1) / (n + v + 1)
+                both = np.where(before > 0, weight * np.minimum(quantised(pair), before) / np.maximum(before, 1) + (1 - weight) * alone, alone)
+                count = np.array([*(exact.get(w, 0) for w in known), texts], np.int64)[place]
+                rest = np.flatnonzero((count == 0) & (place < len(known)))
+                owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+                cells, times = np.unique(owner[rest] * len(known) + place[rest], return_counts=True)
+                bounds = np.searchsorted(cells, np.arange(len(sizes) + 1) * max(1, len(known)))
+                names = list(known)
+                offsets = pa.array(bounds.astype(np.int32))
+                yield pa.RecordBatch.from_pydict({
+                    "id": part.column("id"), "held_out": part.column("held_out"), "n_tokens": pa.array(sizes + 1),
+                    "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), "base": pa.array(np.add.reduceat(np.log10(count + 1.0), starts)),
+                    "score": pa.array(np.add.reduceat(np.log10(both), starts)),
+                    "rest": pa.ListArray.from_arrays(offsets, pa.array([names[c % len(known)] for c in cells.tolist()], pa.binary())),
+                    "times": pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+                })
+
+    schema = f"id {kind(state)}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<binary>, times array<long>"
+    return state.mapInArrow(run, schema)

@@ -120,15 +120,18 @@ def codec(ranks_path: str, pattern: str) -> TreeCodec:
     return _LOADED[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids array<int>)`` for every row."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = False) -> DataFrame:
+    """``(id, ids array<int>)`` for every row; with ``verify`` ids that do not decode to their text are an error."""
     base = narrow(docs, id=id_col, text=text_col)
 
     def run(batches):
         c = codec(ranks_path, pattern)
         for b in batches:
             for part in _slices(b):
-                ids = [c.encode(t or "") for t in part.column("text").to_pylist()]
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                ids = [c.encode(t) for t in texts]
+                if verify and any(c.decode(i) != t.encode() for i, t in zip(ids, texts, strict=True)):
+                    raise ValueError("ids do not decode to their text")
                 sizes = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "ids": pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))})

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe_tree, decontam, secret_ledger, simhash_ball, token_store, url_digest
+from panelcast.llm import bloom_lm, bpe_tree, cotrain, decontam, mih, mincut, secret_ledger, simhash_ball, token_store, url_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,24 @@ def op1(spark, folder):
 @query("op7_simhash_ball")
 def op7(spark, folder):
     return simhash_ball.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_cotraining")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents")
+    return cotrain.score(docs, cotrain.train(docs, table(spark, folder, "labels")))
+
+
+@query("op5_multi_index_hashing")
+def op5(spark, folder):
+    return mih.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op6_bloom_lm")
+def op6(spark, folder):
+    return bloom_lm.score(table(spark, folder, "documents"))
+
+
+@query("op3_mincut_text")
+def op3(spark, folder):
+    return mincut.extract(table(spark, folder, "pages"))
