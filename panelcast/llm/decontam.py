@@ -57,9 +57,9 @@ def hits(
     probe = probe.withColumn("l", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths))))
     at = F.coalesce("at", F.lit(0))
     probe = probe.select(
-        "id", "text_hash", "n_words", at.alias("at"), "l", F.slice("w", at + 1, F.col("l")).alias("g"),
+        "id", "text_hash", "n_words", at.alias("at"), "l", F.when(at + F.col("l") <= F.col("n_words"), F.slice("w", at + 1, F.col("l"))).alias("g"),
         ((at == 0) & (F.col("l") == lengths[0])).alias("carry"),  # this row brings its document through, hit or not
-    ).withColumn("h", F.xxhash64("g"))
+    ).withColumn("h", F.when(F.col("g").isNotNull(), F.xxhash64("g")))
     found = probe.join(table, probe.h == table["hash"], "left").where(F.col("entries").isNotNull() | F.col("carry"))
     found = found.withColumn("entries", F.filter("entries", lambda e: e["gram"] == F.col("g"))).select(
         "id", "text_hash", "n_words", "carry", F.when(F.size("entries") > 0, F.struct("at", F.col("l").alias("len"))).alias("span"),
