@@ -181,7 +181,7 @@ def _fit_target(sample: DataFrame, target: str, vocabulary: int, rounds: int, co
             train = rows.where("label IS NOT NULL AND NOT aside").select(f"{c}_vector", "label")
             if given[c] is not None:
                 train = train.unionByName(given[c].select(f"{c}_vector", "label"))
-            model = LogisticRegression(featuresCol=f"{c}_vector", labelCol="label", regParam=0.01, maxIter=20).fit(train)
+            model = LogisticRegression(featuresCol=f"{c}_vector", labelCol="label", regParam=0.01, maxIter=10).fit(train)
             views.append(View(c, model))
         kept_aside = rows.where("label IS NOT NULL AND aside")
         for view in views:
