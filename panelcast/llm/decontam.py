@@ -121,8 +121,10 @@ _CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _without(text: Column, spans: Column) -> Column:
-    kept_words = F.regexp_extract_all(text, F.lit(_CASED), F.lit(0))
+    words_ = F.regexp_extract_all(text, F.lit(_CASED), F.lit(0))
     between = F.split(text, _CASED, -1)
+    # each word with the separator before it; the last separator stays (the padding of the zip has no word)
+    pairs = F.arrays_zip(between.alias("sep"), words_.alias("word"))
     inside = lambda i: F.exists(spans, lambda s: (i >= s["at"]) & (i < s["at"] + s["len"]))
-    kept = F.filter(F.sequence(F.lit(0), F.size(kept_words) - 1), lambda i: ~inside(i))
-    return F.concat(F.array_join(F.transform(kept, lambda i: F.concat(F.get(between, i), F.get(kept_words, i))), ""), F.element_at(between, -1))
+    kept = F.filter(pairs, lambda p, i: p["word"].isNull() | ~inside(i))
+    return F.array_join(F.transform(kept, lambda p: F.concat(p["sep"], F.coalesce(p["word"], F.lit("")))), "")
