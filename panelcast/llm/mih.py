@@ -149,10 +149,11 @@ def _search_block(model: Model, k: int):
 
 
 def search(
-    df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, model: Model | None = None,
+    df: DataFrame, is_query: Column | str, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, model: Model | None = None,
     block_rows: int = 8192, query_rows: int = 4096, **fitting,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows of ``df`` that ``is_query`` holds for, against all rows; ``is_query`` is an expression over ``id``."""
+    is_query = F.expr(is_query) if isinstance(is_query, str) else is_query
     model = model or fit(df, id_col, vector_col, k=k, **fitting)
     if model is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
