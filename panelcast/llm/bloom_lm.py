@@ -351,7 +351,7 @@ def _scored(state: DataFrame, part_of_filter, hot, n: int, v: int, texts: int, w
                 token = quantised(single)
                 before = np.concatenate([[0.0], token[:-1]])
                 before[starts] = texts
-                alone = (token + 1) / (n + v + 1)
+                alone = np.minimum((token + 1) / (n + v + 1), 1.0)  # a quantised count may exceed its range's total
                 both = np.where(before > 0, weight * np.minimum(quantised(pair), before) / np.maximum(before, 1) + (1 - weight) * alone, alone)
                 count = np.array([*(exact.get(w, 0) for w in known), texts], np.int64)[place]
                 rest = np.flatnonzero((count == 0) & (place < len(known)))
