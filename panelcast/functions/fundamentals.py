@@ -133,9 +133,16 @@ def anchor_inverse(z: Column, anchor: Column) -> Column:
     return F.sinh(z) + anchor
 
 
-def horizon_noise(c: Column, std: float, h: Column, seed: int) -> Column:
-    """Forecast-like noise growing with the square root of the horizon (augmentation)."""
-    return c + F.randn(seed) * F.lit(std) * F.sqrt(h)
+def hashed_uniform(row_key, seed: int) -> Column:
+    """A number in (0, 1) drawn from the text of a row's key: the same whatever the partitioning."""
+    parts = [F.unix_micros(k).cast("string") if k.endswith("ts") else F.col(k).cast("string") for k in row_key]
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts, F.lit(str(seed)))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def horizon_noise(c: Column, std: float, h: Column, row_key, seed: int) -> Column:
+    """Forecast-like noise growing with the square root of the horizon (augmentation), by Box-Muller from hashed draws."""
+    normal = F.sqrt(-2 * F.log(hashed_uniform(row_key, seed))) * F.cos(2 * math.pi * hashed_uniform(row_key, seed + 1))
+    return c + normal * F.lit(std) * F.sqrt(h)
 
 
 def solar_elevation(ts="ts", lat: float = 51.0, lon: float = 10.0) -> Column:

@@ -52,6 +52,8 @@ def over_buckets(
         "_bucket",
         F.explode(F.sequence(F.floor((F.col("_pos") - ahead) / size), F.floor((F.col("_pos") + back) / size))),
     )
+    # spread by both, else a table partitioned by series would leave a long series in one task
+    spread = spread.repartition(*keys, "_bucket")
     w = Window.partitionBy(*keys, "_bucket").orderBy("_pos")
     out = spread.select("*", *[fn(w).alias(name) for name, fn in exprs.items()])
     return out.where(F.col("_bucket") == F.floor(F.col("_pos") / size)).drop("_pos", "_bucket")
@@ -113,7 +115,7 @@ def running(
     summary = base.groupBy(*keys, "_run_b").agg(*[_reduce(k, f"_v_{n}").alias(n) for n, k in kinds.items()])
     carried = summary.select(*keys, "_run_b", *[_over(k, n, keys, "_run_b", 1).alias(f"_c_{n}") for n, k in kinds.items()])
     inside, edge = [*keys, "_run_b"], 0 if inclusive else 1
-    own = base.select("*", *[_over(k, f"_v_{n}", inside, "_run_pos", edge).alias(f"_o_{n}") for n, k in kinds.items()])
+    own = base.repartition(*inside).select("*", *[_over(k, f"_v_{n}", inside, "_run_pos", edge).alias(f"_o_{n}") for n, k in kinds.items()])
     return own.join(carried, [*keys, "_run_b"]).select(
         *df.columns, *[_merge(k, F.col(f"_c_{n}"), F.col(f"_o_{n}")).alias(n) for n, k in kinds.items()]
     )

@@ -33,6 +33,14 @@ def rank_actions(df: DataFrame, by: str, keys=(KEY,), k: int = 2, spread: Column
     return df.withColumn("action", a if spread is None else F.when(spread, a).otherwise(0))
 
 
+def where_bands_part(df: DataFrame, keys=(KEY,), low: str = "q10", high: str = "q90") -> DataFrame:
+    """Trade an episode only if the bands of its hours to buy and to sell are apart: every ``high`` of the first below every ``low`` of the second."""
+    w = Window.partitionBy(*keys, "episode")
+    dear = F.min(F.when(F.col("action") > 0, F.col(low))).over(w)
+    cheap = F.max(F.when(F.col("action") < 0, F.col(high))).over(w)
+    return df.withColumn("action", F.when(cheap < dear, F.col("action")).otherwise(0))
+
+
 def hourly_actions(df: DataFrame, charge=range(0, 6), discharge=range(8, 14)) -> DataFrame:
     """A fixed daily schedule by hour; empty ranges give the idle policy."""
     a = F.when(F.col("step").isin(list(charge)), -1) if len(charge) else F.when(F.lit(False), -1)

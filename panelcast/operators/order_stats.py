@@ -25,12 +25,13 @@ def value_bins(counts: DataFrame, keys, value: str, bins: int = BINS) -> DataFra
     probs = [i / bins for i in range(1, bins)]
     edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 20 * bins).alias("_edges"))
     joined = attach(counts, edges, keys)
-    return joined.withColumn("_bin", edges_below(F.col(value), F.col("_edges"))).drop("_edges")
+    binned = joined.withColumn("_bin", edges_below(F.col(value), F.col("_edges"))).drop("_edges")
+    return binned.repartition(*keys, "_bin")  # a bin, not a group, is the unit of a task
 
 
 def edges_below(v: Column, edges: Column) -> Column:
-    """Number of edges below ``v``: where it lands among the sorted edges."""
-    return (F.array_position(F.sort_array(F.array_append(edges, v)), v) - 1).cast("int")
+    """Number of edges below ``v``."""
+    return F.size(F.filter(edges, lambda e: e < v))
 
 
 def grouped_quantiles(

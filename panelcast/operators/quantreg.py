@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +14,16 @@ from panelcast.session import materialize
 class LinearQuantiles:
     """One linear model per quantile, all fitted together.
 
-    Each iteration is one Spark aggregate: the weighted normal equations of every
-    quantile as sums (map-side combined, a few dozen numbers whatever the data
-    size). Only those numbers reach the driver, for a solve of the feature count.
+    Each iteration is one pass: every task adds up the weighted normal equations of
+    all quantiles over its rows as matrices, and only their sums (a few numbers per
+    pair of features, whatever the data size) reach the driver for the solve.
+    Iterations go on until no fitted line moves by more than ``tolerance`` of the
+    target's spread; a fit that does not settle within ``most`` is an error.
     """
 
-    def __init__(self, features, quantiles: dict[str, float] = QUANTILES, *, iterations: int = 8, floor: float = 1e-3, ridge: float = 1e-6):
+    def __init__(self, features, quantiles: dict[str, float] = QUANTILES, *, tolerance: float = 1e-3, most: int = 200, floor: float = 1e-3, ridge: float = 1e-6):
         self.features, self.quantiles = list(features), dict(quantiles)
-        self.iterations, self.floor, self.ridge = iterations, floor, ridge
+        self.tolerance, self.most, self.floor, self.ridge = tolerance, most, floor, ridge
         self.coef: dict[str, np.ndarray] | None = None
 
     def _terms(self) -> list[Column]:
@@ -32,32 +35,52 @@ class LinearQuantiles:
             out = out + float(b) * t
         return out
 
+    def _equations(self, used: DataFrame, beta: dict[str, np.ndarray] | None, scale: float) -> dict[str, np.ndarray]:
+        """Per quantile the Gram matrix with the right-hand side as its last column."""
+        taus, p, floor = self.quantiles, len(self.features) + 1, self.floor
+
+        def run(batches):
+            total = {q: np.zeros((p, p + 1)) for q in taus}
+            for pdf in batches:
+                data = pdf.to_numpy(dtype=float)
+                x, y = np.column_stack([np.ones(len(data)), data[:, :-1]]), data[:, -1]
+                for q, tau in taus.items():
+                    w = np.ones(len(y))
+                    if beta is not None:
+                        e = y - x @ beta[q]
+                        w = np.where(e >= 0, tau, 1 - tau) / np.maximum(np.abs(e), floor * scale)
+                    total[q] += (x * w[:, None]).T @ np.column_stack([x, y])
+            yield pd.DataFrame({"q": list(total), "cells": [t.ravel() for t in total.values()]})
+
+        parts = used.mapInPandas(run, "q string, cells array<double>")
+        rows = parts.select("q", F.posexplode("cells").alias("i", "v")).groupBy("q", "i").agg(F.sum("v").alias("v")).collect()
+        out = {q: np.zeros(p * (p + 1)) for q in taus}
+        for r in rows:
+            out[r["q"]][r["i"]] = r["v"]
+        return {q: v.reshape(p, p + 1) for q, v in out.items()}
+
     def fit(self, df: DataFrame, y: str = "y") -> LinearQuantiles:
-        used = df.select(*self.features, F.col(y).alias("_y")).dropna()
+        used = df.select(*[F.col(c).cast("double").alias(c) for c in self.features], F.col(y).cast("double").alias("_y")).dropna()
         used = materialize(used)  # read once per iteration instead of recomputed
-        x, p = self._terms(), len(self.features) + 1
-        beta = {q: None for q in self.quantiles}
-        scale = None
-        for step in range(self.iterations):
-            sums = []
-            for q, tau in self.quantiles.items():
-                if beta[q] is None:
-                    w = F.lit(1.0)
-                else:
-                    e = F.col("_y") - self._line(beta[q])
-                    w = F.when(e >= 0, tau).otherwise(1 - tau) / F.greatest(F.abs(e), F.lit(self.floor * scale))
-                sums += [F.sum(w * x[i] * x[j]).alias(f"{q}_g{i}_{j}") for i in range(p) for j in range(i, p)]
-                sums += [F.sum(w * x[i] * F.col("_y")).alias(f"{q}_r{i}") for i in range(p)]
-            row = used.agg(F.stddev_pop("_y").alias("_scale"), F.count(F.lit(1)).alias("_n"), *sums).first()
-            if not row["_n"]:
-                raise ValueError("no complete training rows")
-            scale = scale or (row["_scale"] or 1.0)
-            for q in self.quantiles:
-                gram = np.array([[row[f"{q}_g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-                rhs = np.array([row[f"{q}_r{i}"] for i in range(p)])
+        p = len(self.features) + 1
+        whole = used.agg(F.stddev_pop("_y").alias("_scale"), F.count(F.lit(1)).alias("_n"), *[F.stddev_pop(c).alias(f"_s{i}") for i, c in enumerate(self.features)]).first()
+        if not whole["_n"]:
+            raise ValueError("no complete training rows")
+        scale = whole["_scale"] or 1.0
+        # a line moves by at most about this much per unit of each coefficient
+        unit = np.array([1.0, *[whole[f"_s{i}"] or 0.0 for i in range(p - 1)]])
+        beta: dict[str, np.ndarray] | None = None
+        for step in range(self.most):
+            before, beta = beta, {}
+            for q, m in self._equations(used, before, scale).items():
+                gram, rhs = m[:, :p], m[:, p]
                 beta[q] = np.linalg.solve(gram + self.ridge * np.trace(gram) / p * np.eye(p) * 1e-3, rhs)
             if step == 0:
                 self._level(used, beta)  # from the mean line to each quantile's level
+            elif max(np.abs((beta[q] - before[q])[1:] * unit[1:]).max(initial=0.0) for q in beta) <= self.tolerance * scale:
+                break
+        else:
+            raise ArithmeticError(f"quantile regression did not settle within {self.most} iterations")
         self._level(used, beta)
         self.coef = beta
         return self

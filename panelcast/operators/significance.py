@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,11 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     f = d
-    for m in range(1, 500):
+    m = 0
+    while True:
+        m += 1
+        if m > 1_000_000:
+            raise ArithmeticError(f"incomplete beta function did not converge at a={a}, b={b}, x={x}")
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -31,8 +36,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             f *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return f
+            return f
 
 
 def beta_cdf(a: float, b: float, x: float) -> float:
@@ -141,26 +145,76 @@ def detectable_difference(n: Column, sd: Column, z: float = 1.959964 + 0.8416212
     return z * sd / F.sqrt(F.greatest(n, F.lit(1)))
 
 
-# Cumulative probabilities of a Poisson variable with mean 1.
-_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-            0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+def _poisson_cdf() -> np.ndarray:
+    """Cumulative probabilities of a Poisson variable with mean 1, up to where doubles reach 1."""
+    out, term, k = [], math.exp(-1.0), 0
+    while not out or out[-1] < 1.0 and out[-1] + term > out[-1]:
+        out.append((out[-1] if out else 0.0) + term)
+        k += 1
+        term /= k
+    return np.array(out)
+
+
+_CDF = _poisson_cdf()
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """Finaliser of the splitmix64 generator (its published constants)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def bootstrap_weights(row_hash: np.ndarray, resamples: int) -> np.ndarray:
+    """Poisson weight of every row in every replicate (rows x replicates), drawn from the hash of the row."""
+    with np.errstate(over="ignore"):
+        salt = _scrambled(np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        u = _scrambled(row_hash[:, None] ^ salt[None, :])
+    return np.searchsorted(_CDF, (u >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
+
+
+def _replicates(keys: list[str], resamples: int, held_groups: int = 1024):
+    """Per partition: sums of weights and of weighted values for each key and replicate."""
+
+    def rows(held):
+        for key, (w, wx) in held.items():
+            yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "_w": [w], "_wx": [wx]})
+
+    def run(batches):
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            groups = pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]
+            for key, part in groups:
+                w, wx = held.setdefault(tuple(key), (np.zeros(resamples), np.zeros(resamples)))
+                for at in range(0, len(part), 512):
+                    some = part.iloc[at : at + 512]
+                    draws = bootstrap_weights(some["_k"].to_numpy(np.int64).view(np.uint64), resamples)
+                    w += draws.sum(0)
+                    wx += some["_x"].to_numpy(float) @ draws
+            if len(held) > held_groups:
+                yield from rows(held)
+                held = {}
+        yield from rows(held)
+
+    return run
 
 
 def bootstrap_mean(df: DataFrame, value: Column, row_key, *, keys=(), resamples: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """Point, lower and upper bound of a mean by Poisson bootstrap.
 
     Every row draws its weight per replicate from a hash of its key, so the
-    result does not depend on partitioning; replicates combine map-side and only
-    their sums travel.
+    result does not depend on partitioning. Each task sums all replicates of its
+    rows at once; one row per key and task travels, with two arrays.
     """
     keys = list(keys)
-    draws = df.select(*keys, value.alias("_x"), F.xxhash64(*row_key, F.lit(seed)).alias("_k")).where("_x IS NOT NULL")
-    reps = draws.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.pmod(F.xxhash64("_k", "_r"), F.lit(1 << 40)) / float(1 << 40)
-    w = F.lit(0)
-    for c in _POISSON:
-        w = w + (u >= c).cast("int")
-    per = reps.withColumn("_w", w).groupBy(*keys, "_r").agg((F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    draws = df.select(*keys, value.cast("double").alias("_x"), F.xxhash64(*row_key, F.lit(seed)).alias("_k")).where("_x IS NOT NULL")
+    types = ", ".join([*[f"`{k}` {draws.schema[k].dataType.simpleString()}" for k in keys], "_w array<double>", "_wx array<double>"])
+    parts = draws.mapInPandas(_replicates(keys, resamples), types)
+    sums = parts.select(*keys, F.posexplode(F.arrays_zip("_w", "_wx")).alias("_r", "_s")).groupBy(*keys, "_r").agg(
+        F.sum("_s._w").alias("_w"), F.sum("_s._wx").alias("_wx")
+    )
+    per = sums.select(*keys, "_r", (F.col("_wx") / F.nullif(F.col("_w"), F.lit(0.0))).alias("_m"))
     tail = (1 - confidence) / 2
     ci = grouped_quantiles(per, keys, "_m", {"lower": tail, "upper": 1 - tail}).drop("n")
     point = draws.groupBy(*keys).agg(F.avg("_x").alias("point"), F.count(F.lit(1)).alias("n"))

@@ -57,13 +57,22 @@ def _(spark, d):
     return D.episode_profits(D.simulate(e, F.col("action") * D.POWER))
 
 
-@query("b4_forecast_driven_policy")
+_FORECAST_ACT = """ep AS (SELECT series_key, target_ts::DATE::TIMESTAMP AS episode, hour(target_ts)::INTEGER AS step, target_ts AS ts, y AS price, q10, q50, q90, count(*) OVER (PARTITION BY series_key, target_ts::DATE) AS n FROM weekly WHERE hour(origin_ts) = 23),
+rk AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY series_key, episode ORDER BY q50, step) <= 2 THEN -1 WHEN row_number() OVER (PARTITION BY series_key, episode ORDER BY q50 DESC, step DESC) <= 2 THEN 1 ELSE 0 END AS a FROM ep WHERE n = 24),
+act AS (SELECT *, CASE WHEN max(CASE WHEN a < 0 THEN q90 END) OVER (PARTITION BY series_key, episode) < min(CASE WHEN a > 0 THEN q10 END) OVER (PARTITION BY series_key, episode) THEN a ELSE 0 END AS banded FROM rk),
+sim AS""" + _SIM.format(policy="banded").split("sim AS", 1)[1]
+
+
+@query(
+    "b4_forecast_driven_policy",
+    with_ctes(fc.FC, _FORECAST_ACT).replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT series_key, episode, step, ts, {r('soc')} AS soc, {r('power')} AS power, {r('profit')} AS profit FROM sim WHERE step >= 0",
+)
 def _(spark, d):
-    """Hours ranked by the day-ahead median, traded only where the bands of the day separate; settled at actual prices."""
+    """Hours ranked by the day-ahead median, traded only on days whose bands part; settled at actual prices."""
     w = fc.weekly(pn.hourly_filled(spark, d)).where(F.hour("origin_ts") == 23)
     e = D.episodes(w.select(KEY, F.col("target_ts").alias(TS), F.col("y").alias("price"), "q10", "q50", "q90"))
-    acted = D.rank_actions(e, "q50", spread=F.col("q90") > F.col("q10"))
-    return D.simulate(acted, F.col("action") * D.POWER)
+    acted = D.where_bands_part(D.rank_actions(e, "q50"))
+    return D.simulate(acted, F.col("action") * D.POWER).select(KEY, "episode", "step", TS, "soc", "power", "profit")
 
 
 @query(

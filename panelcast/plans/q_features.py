@@ -172,23 +172,30 @@ def _(spark, d):
 
 @query(
     "c24_anchor_residual_target",
-    with_ctes(pn.HF) + f"""SELECT o.series_key, o.ts AS origin_ts, k::INTEGER AS horizon_h, {r('asinh(t.price - o.price)')} AS target, {r('sinh(asinh(t.price - o.price)) + o.price')} AS restored FROM hf o CROSS JOIN (SELECT unnest([1, 6, 24]) AS k)
+    with_ctes(pn.HF) + f"""SELECT o.series_key, o.ts AS origin_ts, k::INTEGER AS horizon_h, {r('asinh(t.price - o.price)')} AS target, {r('sinh(asinh(t.price - o.price)) + o.price')} AS restored FROM hf o CROSS JOIN (SELECT unnest(range(1, 25)) AS k)
     JOIN hf t ON t.series_key = o.series_key AND t.ts = o.ts + k * INTERVAL 1 HOUR""",
 )
 def _(spark, d):
     from panelcast.operators.supervised import supervised
 
-    x = supervised(pn.hourly_filled(spark, d), ["price"], [], "price", horizons=(1, 6, 24))
+    x = supervised(pn.hourly_filled(spark, d), ["price"], [], "price", horizons=tuple(range(1, 25)))
     z = fu.anchor_target(F.col("y"), F.col("price"))
     return x.select(KEY, "origin_ts", "horizon_h", z.alias("target"), fu.anchor_inverse(z, F.col("price")).alias("restored"))
 
 
-@query("c25_horizon_noise")
+_U = lambda seed: f"((('0x' || md5(concat_ws('|', o.series_key, epoch_us(o.ts)::VARCHAR, k::VARCHAR, '{seed}'))[1:12])::BIGINT)::DOUBLE + 0.5) / 281474976710656.0"
+
+
+@query(
+    "c25_horizon_noise",
+    with_ctes(pn.HF) + f"""SELECT o.series_key, o.ts AS origin_ts, k::INTEGER AS horizon_h, {r(f"t.load + sqrt(-2 * ln({_U(7)})) * cos(2 * pi() * {_U(8)}) * 0.1 * sqrt(k)")} AS fut_load FROM hf o CROSS JOIN (SELECT unnest(range(1, 25)) AS k)
+    JOIN hf t ON t.series_key = o.series_key AND t.ts = o.ts + k * INTERVAL 1 HOUR""",
+)
 def _(spark, d):
     from panelcast.operators.supervised import supervised
 
-    x = supervised(pn.hourly_filled(spark, d), [], ["load"], "price", horizons=(1, 6, 24))
-    return x.select(KEY, "origin_ts", "horizon_h", fu.horizon_noise(F.col("fut_load"), 0.1, F.col("horizon_h"), 7).alias("fut_load"))
+    x = supervised(pn.hourly_filled(spark, d), [], ["load"], "price", horizons=tuple(range(1, 25)))
+    return x.select(KEY, "origin_ts", "horizon_h", fu.horizon_noise(F.col("fut_load"), 0.1, F.col("horizon_h"), [KEY, "origin_ts", "horizon_h"], 7).alias("fut_load"))
 
 
 @query(

@@ -205,7 +205,7 @@ def _(spark, d):
 @query("m16_bootstrap_interval")
 def _(spark, d):
     p = _pairs(spark, d)
-    return S.bootstrap_mean(p, F.abs("e1") - F.abs("e2"), [KEY, "origin_ts", "horizon_h"], keys=[KEY], resamples=200)
+    return S.bootstrap_mean(p, F.abs("e1") - F.abs("e2"), [KEY, "origin_ts", "horizon_h"], keys=[KEY])
 
 
 _TRADE = """tr0 AS (SELECT series_key, ts, price, q50, lag(price) OVER (PARTITION BY series_key ORDER BY ts) AS prev FROM (SELECT w.series_key, w.target_ts AS ts, w.y AS price, w.q50 FROM weekly w WHERE horizon_h = 1)),

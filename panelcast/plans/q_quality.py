@@ -153,16 +153,21 @@ def _(spark, d):
 _REN = "(coalesce(gen_wind_onshore, 0) + coalesce(gen_wind_offshore, 0) + coalesce(gen_solar, 0) + coalesce(gen_hydro_ror, 0))"
 
 
+_ALL = "(" + " + ".join(f"coalesce({g}, 0)" for g in pn.GENERATION.values()) + ")"
+
+
 @query(
     "a13_generation_mix",
-    with_ctes(pn.M) + f"SELECT date_trunc('month', ts)::TIMESTAMP AS month, {r(f'avg(100 * {_REN} / nullif(load, 0))')} AS renewable_share, {r('100 * sum(gen_solar) / nullif(sum(load), 0)')} AS solar_share FROM m GROUP BY 1",
+    with_ctes(pn.M) + f"SELECT date_trunc('month', ts)::TIMESTAMP AS month, {r(f'100 * sum({_REN}) / nullif(sum({_ALL}), 0)')} AS renewable_share, {', '.join(r(f'100 * coalesce(sum({g}), 0) / nullif(sum({_ALL}), 0)') + f' AS {g}_share' for g in pn.GENERATION.values())} FROM m GROUP BY 1",
 )
 def _(spark, d):
     m = pn.market(spark, d)
-    load = F.nullif(F.col("load"), F.lit(0.0))
     ren = F.col("load") - residual_load_skipping(m)
+    every = sum((F.coalesce(F.col(g), F.lit(0.0)) for g in pn.GENERATION.values()), F.lit(0.0))
+    total = F.nullif(F.sum(every), F.lit(0.0))
     return m.groupBy(F.date_trunc("month", TS).alias("month")).agg(
-        F.avg(100 * ren / load).alias("renewable_share"), (100 * F.sum("gen_solar") / F.nullif(F.sum("load"), F.lit(0.0))).alias("solar_share")
+        (100 * F.sum(ren) / total).alias("renewable_share"),
+        *[(100 * F.coalesce(F.sum(g), F.lit(0.0)) / total).alias(f"{g}_share") for g in pn.GENERATION.values()],
     )
 
 
@@ -300,11 +305,11 @@ def _(spark, d):
 
 @query(
     "a27_histogram",
-    with_ctes(pn.H) + "SELECT series_key, least(floor(price / 10), 30)::BIGINT AS bin, count(*) AS n FROM h WHERE price IS NOT NULL GROUP BY 1, 2",
+    with_ctes(pn.H) + "SELECT series_key, floor(price / 10)::BIGINT AS bin, count(*) AS n FROM h WHERE price IS NOT NULL GROUP BY 1, 2",
 )
 def _(spark, d):
     h = pn.hourly(spark, d).where("price IS NOT NULL")
-    b = F.least(F.width_bucket("price", F.lit(0.0), F.lit(300.0), F.lit(30)), F.lit(31)) - 1
+    b = F.floor(F.col("price") / 10)
     return h.groupBy(KEY, b.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -96,12 +96,14 @@ _RATE = "avg(({c} IS NULL)::INTEGER)"
 
 @query(
     "s8_validate_output",
-    with_ctes(pn.H) + f"""SELECT 'hourly' AS dataset, n_rows, first_ts, last_ts, reasons = '' AS passed, reasons FROM (SELECT count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts,
-    concat_ws('; ', CASE WHEN count(*) < 1000000000 THEN 'too few rows' END, CASE WHEN min(ts) > TIMESTAMP '2024-01-03' THEN 'starts late' END,
-    CASE WHEN max(ts) < TIMESTAMP '2024-02-15' THEN 'ends early' END, CASE WHEN {_RATE.format(c='price')} > 0.5 THEN 'price over half null' END) AS reasons FROM h)""",
+    with_ctes(pn.H) + f"""SELECT dataset, n_rows, first_ts, last_ts, reasons = '' AS passed, reasons FROM (SELECT dataset, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts,
+    concat_ws('; ', CASE WHEN count(*) < least_rows THEN 'too few rows' END, CASE WHEN min(ts) > TIMESTAMP '2024-01-03' THEN 'starts late' END,
+    CASE WHEN max(ts) < TIMESTAMP '2024-01-15' THEN 'ends early' END, CASE WHEN {_RATE.format(c='price')} > 0.5 THEN 'price over half null' END) AS reasons FROM h, (VALUES ('hourly', 1000000000), ('hourly, small', 100)) AS v(dataset, least_rows) GROUP BY dataset, least_rows)""",
 )
 def _(spark, d):
-    v = catalog.validate(pn.hourly(spark, d), "hourly", ["price"], min_rows=1_000_000_000, start="2024-01-01", end="2024-02-15")
+    h = pn.hourly(spark, d)
+    dates = {"start": "2024-01-01", "end": "2024-01-15"}
+    v = catalog.validate(h, "hourly", ["price"], min_rows=1_000_000_000, **dates).unionByName(catalog.validate(h, "hourly, small", ["price"], min_rows=100, **dates))
     return v.withColumn("reasons", F.concat_ws("; ", "reasons"))
 
 

@@ -11,8 +11,8 @@ HOUR = 3600
 DAY = 86400
 
 # Canonical column groups of the market panel.
-CITIES = ("Berlin", "Hamburg", "Munich", "Cologne", "Frankfurt")
-WEATHER_VARIABLES = ("temperature_2m", "windspeed_10m", "shortwave_radiation", "cloudcover")
+CITIES = ("berlin", "cologne", "frankfurt", "hamburg", "munich")
+WEATHER_VARIABLES = ("temperature_2m", "wind_speed_10m", "wind_speed_100m", "shortwave_radiation")
 NONNEGATIVE_GENERATION = (
     "gen_biomass", "gen_fossil_lignite", "gen_fossil_coal_gas", "gen_fossil_gas",
     "gen_fossil_hard_coal", "gen_fossil_oil", "gen_geothermal", "gen_hydro_ror",

@@ -12,9 +12,6 @@ _RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # a table already partitioned by series must be spread again by (series, bucket):
-    # otherwise one long series would stay in the task it happens to be in
-    "spark.sql.requireAllClusterKeysForDistribution": "true",
 }
 
 

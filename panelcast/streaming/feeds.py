@@ -23,15 +23,17 @@ def stream_folder(spark: SparkSession, folder: str, pattern: str | None = None,
     return normalise(reader.parquet(folder))
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append", timeout: int = 3600) -> DataFrame:
-    """Process everything available into a parquet table in the shared folder and return that table."""
+def run_available(stream: DataFrame, label: str, mode: str = "append", timeout: float | None = None) -> DataFrame:
+    """Process everything available into a parquet table in the shared folder and return that table; no time limit unless one is given."""
     spark = stream.sparkSession
     out, check = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
     q = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
         .outputMode(mode).trigger(availableNow=True).start()
     )
-    if not q.awaitTermination(timeout):
+    if timeout is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout):
         q.stop()
         raise TimeoutError(f"stream {label} did not finish in {timeout} s")
     return spark.read.schema(stream.schema).parquet(out)

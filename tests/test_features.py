@@ -8,7 +8,7 @@ from panelcast.functions.bundles import Bundle, build_features, resolve_order
 from panelcast.functions.fundamentals import clip, net_imports, residual_load
 from panelcast.functions.predicates import split_label
 from panelcast.operators import constraints as K
-from panelcast.schemas import KEY, TS
+from panelcast.schemas import CITIES, KEY, TS, WEATHER_VARIABLES
 from panelcast.sources import feeds
 from panelcast.streaming import operators as S
 from panelcast.streaming.feeds import run_available, stream_folder
@@ -81,6 +81,17 @@ def test_bundles(hourly):
     assert {"price_lag24h", "load_lag24h", "hour_sin", "residual_load", "is_renewable_scarcity"} <= set(build_features(df, ["price_lags", "calendar", "spike"]).columns)
 
 
+def test_bundles_on_a_daily_panel_and_canonical_weather(hourly):
+    days = hourly({"a": range(9000)}, step=86400).withColumn("load", F.col("price"))
+    got = build_features(days, ["price_lags"], step=86400).orderBy(TS).collect()
+    assert [r["price_lag168h"] for r in got] == [None] * 168 + [float(i) for i in range(9000 - 168)]
+    wide = days.limit(400).withColumns({f"{c}_{v}": F.col("price") + i for i, c in enumerate(CITIES) for v in WEATHER_VARIABLES})
+    out = build_features(wide, ["load_weather"], step=86400)
+    assert {"weather_mean_temperature_2m", "weather_max_wind_speed_100m", "heating_degree", "weather_mean_shortwave_radiation_lag24h", "munich_wind_speed_10m_lag168h"} <= set(out.columns)
+    with pytest.raises(KeyError):
+        build_features(days, ["weather"])
+
+
 def document(series, ns="urn:iec62325.351:tc57wg16:451-3:publicationdocument:7:3"):
     return f'<Publication_MarketDocument xmlns="{ns}">{series}</Publication_MarketDocument>'
 

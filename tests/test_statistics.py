@@ -145,7 +145,7 @@ def test_linear_quantiles(spark):
     x = rng.uniform(0, 10, 1500)
     y = 3 + 2 * x + rng.normal(0, 1, 1500)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    m = LinearQuantiles(["x"], iterations=15).fit(df)
+    m = LinearQuantiles(["x"]).fit(df)
     share = m.predict_quantiles(df).agg(*[F.avg((F.col("y") < F.col(q)).cast("int")).alias(q) for q in ("q10", "q50", "q90")]).first()
     assert share["q10"] == pytest.approx(0.1, abs=0.02) and share["q50"] == pytest.approx(0.5, abs=0.02) and share["q90"] == pytest.approx(0.9, abs=0.02)
     assert m.coef["q50"][1] == pytest.approx(2.0, abs=0.05)
