@@ -155,7 +155,7 @@ def test_window_fill_blend_and_smoothing(spark, hourly):
     x = [None if i % 5 == 2 else float(i) for i in range(50)]
     df = interpolate(hourly({"a": x}, "v"), "v", out="other")
     got = Q.window_fill(df, "v", Q.whittaker_fit, length=20, other="other").orderBy(TS).collect()
-    assert len(got) == 40
+    assert len(got) == 50  # the last window is shorter
     for i, r in enumerate(got):
         assert r["filled"] == pytest.approx(float(i), abs=1e-2) and (x[i] is None or r["filled"] == x[i])
     held = spark.createDataFrame([("a", 1.0, 0.0, 2.0), ("a", 2.0, 1.0, 3.0), ("b", 9.0, 0.0, 1.0), ("c", -9.0, 0.0, 1.0)], "k string, y double, first double, second double")
