@@ -97,7 +97,7 @@ def expanding_quantile(
     base = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], pos.cast("bigint").alias("_pos"), F.col(column).cast("double").alias("_v"))
     probs = [i / bins for i in range(1, bins)]
     edges = base.groupBy(*names).agg(
-        F.percentile_approx("_v", probs, 20 * bins).alias("_edges"),
+        F.sort_array(F.percentile_approx("_v", probs, 20 * bins)).alias("_edges"),
         F.min("_pos").alias("_a"), F.max("_pos").alias("_z"),
     )
     width = F.greatest(F.ceil((F.floor(F.col("_z") / size) - F.floor(F.col("_a") / size) + 1) / SLICES), F.lit(1))

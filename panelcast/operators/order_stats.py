@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 64
+BIN_VALUES = 1 << 16  # distinct values a bin should hold
+GRID = 512  # approximate quantiles taken of a group, of which as many become edges as its count asks for
 
 
 def attach(df: DataFrame, table: DataFrame, keys, how: str = "inner") -> DataFrame:
@@ -20,18 +21,34 @@ def attach(df: DataFrame, table: DataFrame, keys, how: str = "inner") -> DataFra
     return df.join(table, list(keys), how) if keys else df.crossJoin(table)
 
 
-def value_bins(counts: DataFrame, keys, value: str, bins: int = BINS) -> DataFrame:
-    """Add ``_bin``: index of the value bin within the group. ``counts`` has one row per (keys, value)."""
-    probs = [i / bins for i in range(1, bins)]
-    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 20 * bins).alias("_edges"))
+def value_bins(counts: DataFrame, keys, value: str, bins: int | None = None, bin_values: int = BIN_VALUES) -> DataFrame:
+    """Add ``_bin``: index of the value bin within the group. ``counts`` has one row per (keys, value).
+
+    A group gets a bin for every ``bin_values`` of its values (``GRID`` bins at most, so above
+    33 million distinct values bins grow), or ``bins`` if given; small groups are one bin.
+    """
+    grid = bins or GRID
+    probs = [i / grid for i in range(1, grid)]
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 20 * grid).alias("_edges"), F.count(F.lit(1)).alias("_n"))
+    stride = F.lit(1) if bins else F.greatest(F.lit(1), F.floor(F.lit(grid) * bin_values / F.col("_n")).cast("int"))
+    edges = edges.withColumn("_stride", stride).withColumn("_edges", F.filter("_edges", lambda e, i: (i + 1) % F.col("_stride") == 0)).drop("_n", "_stride")
     joined = attach(counts, edges, keys)
     binned = joined.withColumn("_bin", edges_below(F.col(value), F.col("_edges"))).drop("_edges")
     return binned.repartition(*keys, "_bin")  # a bin, not a group, is the unit of a task
 
 
 def edges_below(v: Column, edges: Column) -> Column:
-    """Number of edges below ``v``."""
-    return F.size(F.filter(edges, lambda e: e < v))
+    """Number of sorted edges below ``v``, by binary search."""
+    def halve(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        right = (acc["lo"] < acc["hi"]) & F.coalesce(F.get(edges, mid) < v, F.lit(False))
+        return F.struct(
+            F.when(right, mid + 1).otherwise(acc["lo"]).cast("int").alias("lo"), F.when(right | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).cast("int").alias("hi")
+        )
+
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.size(edges) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(edges).cast("int").alias("hi"))
+    return F.aggregate(steps, start, halve, lambda acc: acc["lo"])
 
 
 def grouped_quantiles(
@@ -41,7 +58,7 @@ def grouped_quantiles(
     probs: dict[str, float | Column],
     *,
     method: str = "linear",
-    bins: int = BINS,
+    bins: int | None = None,
     extra=(),
 ) -> DataFrame:
     """Exact quantiles per group: one row per key with one column per entry of ``probs`` and ``n``.
@@ -98,7 +115,7 @@ def grouped_quantiles(
     return result
 
 
-def ecdf(df: DataFrame, keys, value: str, second: str, bins: int = BINS) -> DataFrame:
+def ecdf(df: DataFrame, keys, value: str, second: str, bins: int | None = None) -> DataFrame:
     """Cumulative counts of two samples at every distinct value.
 
     ``second`` is a boolean column telling the samples apart. Output per

@@ -92,6 +92,18 @@ def test_scaler(spark):
     assert got == {"a": (2.0, 1.0), "b": (3.0, 1.0), "c": (7.0, 1.0), "d": (None, 1.0)}
 
 
+def test_bins_follow_the_count_of_a_group(spark):
+    from panelcast.operators.order_stats import value_bins
+
+    counts = spark.range(50_000).select(F.lit("large").alias("k"), F.col("id").cast("double").alias("x")).unionByName(spark.range(10).select(F.lit("small").alias("k"), F.col("id").cast("double").alias("x")))
+    sizes = {}
+    for r in value_bins(counts, ["k"], "x", bin_values=1000).groupBy("k", "_bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("z")).orderBy("k", "_bin").collect():
+        sizes.setdefault(r["k"], []).append((r["n"], r["a"], r["z"]))
+    assert [n for n, _, _ in sizes["small"]] == [10]
+    assert len(sizes["large"]) >= 45 and max(n for n, _, _ in sizes["large"]) <= 1300
+    assert all(a[2] < b[1] for a, b in zip(sizes["large"], sizes["large"][1:]))
+
+
 def cells(hourly, n=200):
     rng = np.random.default_rng(5)
     x = [None if rng.random() < 0.2 else float(v) for v in np.sin(np.arange(n) / 5)]
