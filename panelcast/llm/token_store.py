@@ -18,17 +18,21 @@ manifest, a small table in the same folder, so that lost executors and repeated
 leave the set intact. Null texts count as empty and hold the end id alone. Repeated rows are
 kept. Only id and text are read.
 
-Words are encoded by the tokenizers library. A space after a character that is not white
-space always starts a new match of the library's splitting pattern, so a text is cut there
-and the pieces, most of which recur, are encoded once each and remembered.
+Words are encoded by the tokenizers library. White space after a character that is not white
+space always starts a new match of the library's splitting pattern, and so does what follows
+a line break, if it is not white space. Texts are cut there, and the pieces, most of which
+recur, are encoded once each and remembered. In a text of lines with single spaces between
+words, that is each word; other texts are cut less finely.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +47,7 @@ from panelcast.llm.common import narrow
 from panelcast.session import scratch_path
 
 FRAME = 1 << 16  # ids in a frame
-REMEMBERED = 400_000  # pieces of text kept with their ids in a worker
+REMEMBERED = 500_000  # pieces of text kept with their ids in a worker
 LONGEST_REMEMBERED = 64  # characters of such a piece
 _SKIP_INDEX, _SKIP_SEEK, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _HEAD = struct.Struct("<II")
@@ -52,6 +56,34 @@ _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
+#: The byte alphabet of the vocabulary: printable Latin-1 characters stand for themselves, the other bytes for 256 and on, in order.
+_BYTES = dict(zip([b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)], range(256, 512)))
+
+
+class _Pieces(dict):
+    """Ids of pieces, each after ``before``; encoded by the library when first asked for, and remembered while there is room."""
+
+    def __init__(self, library, before: str, room: int):
+        super().__init__()
+        self._library, self._model, self._before, self._room = library, library.model, before, room
+        self._mark = before.encode().decode("latin-1").translate(_BYTES)
+
+    def __missing__(self, piece: str) -> bytes:
+        stem = piece.rstrip(_MARKS)
+        if piece.isalpha() and max(piece) < "\u0250":  # letters are one match: straight to the library's model
+            ids = array("I", [t.id for t in self._model.tokenize(self._mark + piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        elif stem and len(stem) < len(piece) and stem[-1] < "\u0250" and stem[-1].isalpha():
+            ids = self[stem] + self._plain(piece[len(stem) :])  # marks after a letter always start a match
+        else:
+            ids = self._plain(self._before + piece)
+        if len(self) < self._room and len(piece) <= LONGEST_REMEMBERED:
+            self[piece] = ids
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        return array("I", self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian bytes."""
 
@@ -59,37 +91,40 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._library = Tokenizer.from_file(tokenizer_path)
-        self._library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._known: dict[str, bytes] = {}
-        self._room = remembered
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(pieces, add_special_tokens=False)]
+        library = Tokenizer.from_file(tokenizer_path)
+        library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._after_space, self._bare = _Pieces(library, " ", remembered), _Pieces(library, "", remembered // 4)
+        self._break = self._bare["\n"]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_pieces(t) for t in texts]
-        wanted = set().union(*cut) - self._known.keys()
-        new = list(wanted)
-        found = dict(zip(new, self._encode(new), strict=True))
-        if len(self._known) < self._room:
-            self._known.update((p, i) for p, i in found.items() if len(p) <= LONGEST_REMEMBERED)
-        known = self._known
-        if found:
-            return [b"".join([known[p] if p in known else found[p] for p in pieces]) for pieces in cut]
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-
-
-def _pieces(text: str) -> list[str]:
-    """The text cut before every space that follows a character other than white space."""
-    parts = text.split(" ")
+        return [self._text(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        out: list[bytes] = []
+        lines = text.split("\n")
+        for line in lines:
+            if not line.isprintable() or "  " in line or not line or line[0] == " " or line[-1] == " ":
+                return b"".join([self._bare[p] for p in _cut(text)])
+            first, *rest = line.split(" ")
+            out.append(self._bare[first])
+            out += map(self._after_space.__getitem__, rest)
+            out.append(self._break)
+        out.pop()
+        return b"".join(out)
+
+
+_MARKS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+
+
+def _cut(text: str) -> list[str]:
+    """A text with other white space than single spaces and line breaks, cut only before spaces and breaks that follow another character."""
+    parts = re.split(r"([ \n])", text)
     out = [parts[0]]
-    for part in parts[1:]:
-        last = out[-1]
-        if last and not last[-1].isspace():
-            out.append(" " + part)
+    for white, part in zip(parts[1::2], parts[2::2], strict=True):
+        if out[-1] and not out[-1][-1].isspace():
+            out.append(white + part)
         else:
-            out[-1] = last + " " + part
+            out[-1] += white + part
     return out if out[0] else out[1:]
 
 
