@@ -275,6 +275,11 @@ def read(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     return _read(manifest(spark, folder), folder, id_col, "start long, n_tokens long, ids_crc32 long", lambda start, ids: (start, len(ids) // 4, zlib.crc32(ids)))
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Rows that name files are small, their files are not: they are dealt out in a fixed number, which is not merged again."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _read(files: DataFrame, folder: str, id_col: str, fields: str, row) -> DataFrame:
     names = [f.split()[0] for f in fields.split(",")]
     kinds = {"long": pa.int64(), "binary": pa.binary()}
@@ -295,7 +300,7 @@ def _read(files: DataFrame, folder: str, id_col: str, fields: str, row) -> DataF
                         columns |= {n: pa.array(v, t) for n, t, v in zip(names, types, zip(*rows, strict=True), strict=True)}
                         yield pa.RecordBatch.from_pydict(columns)
 
-    spread = files.select("name", "start", "ids", "nulls").repartition("name")
+    spread = files.select("name", "start", "ids", "nulls").repartition(_tasks(files.sparkSession), "name")
     return spread.mapInArrow(run, f"id long, {fields}").withColumnRenamed("id", id_col)
 
 
@@ -307,7 +312,7 @@ def lookup(spark: SparkSession, folder: str, wanted: DataFrame, id_col: str = "d
     """
     index = manifest(spark, folder).select("name", "ids", "nulls").mapInArrow(_positions, "name string, at long, id long")
     asked = narrow(wanted, id=id_col).select(F.col("id").cast("long").alias("id")).distinct()
-    found = index.join(asked, "id").repartition("name").sortWithinPartitions("name", "at")
+    found = index.join(asked, "id").repartition(_tasks(spark), "name").sortWithinPartitions("name", "at")
 
     def run(batches):
         store, root = _store(folder)
