@@ -45,14 +45,15 @@ def vectors(column, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, usable
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Weights and intercept by Newton steps with a small ridge; for calibration on few columns."""
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights and intercept by Newton steps with a small ridge; for calibration on few columns. Rows count by ``weight``."""
+    weight = np.ones(len(x)) if weight is None else weight
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     ridge = np.diag([penalty] * x.shape[1] + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T * (p * (1 - p)) @ z + ridge, z.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve(z.T * (weight * p * (1 - p)) @ z + ridge, z.T @ (weight * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break

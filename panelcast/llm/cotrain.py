@@ -10,13 +10,17 @@ and every document is scored. The same is done for two targets, quality and toxi
 document is kept if its quality is likely and its toxicity is not.
 
 Fitted on bounded samples: at most ``labelled_rows`` labelled and ``pool_rows`` unlabelled
-documents, those with the smallest hashes of their id, and at most ``vocabulary`` words.
+documents, those with the smallest hashes of their id, and at most ``vocabulary`` words. The
+labelled rows are drawn from each combination of labels, the rarest first and whole if they
+fit; weights undo that within a class, and the true shares of the classes enter the log-odds
+at the end. The words are chosen anew in each round, pseudo-labelled rows included.
 Scoring covers all documents in one pass without a shuffle.
 
 Null text, language or source count as empty, a null length as zero. Null ids are scored but
 never labelled. Several labels of one document count as their majority (a tie as the
-positive class), null labels not at all. Where a target has too few labels of either class
-to fit, its score is null and it rejects nothing. Repeated rows are scored each. Only the
+positive class), null labels not at all. A class with so few labels that none is kept aside
+(or none is left to fit on) serves for both. Where a target has no label of a class at all,
+a warning says so, its score is null and it rejects nothing. Repeated rows are scored each. Only the
 named columns are read.
 """
 
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -163,54 +168,82 @@ def _telling_words(labelled: DataFrame, target: str, n: int) -> list[str]:
 
 def _fit_target(sample: DataFrame, target: str, vocabulary: int, rounds: int, confident: float) -> Target | None:
     labelled = sample.where(F.col(target).isNotNull())
-    counts = {r[target]: r["count"] for r in labelled.groupBy(target).count().collect()}
-    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 10:
+    stands = F.col("stands_for")
+    counts = {r[target]: r for r in labelled.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.sum(stands).alias("all"), F.sum(F.col("aside").cast("int")).alias("n_aside")).collect()}
+    if len(counts) < 2:
+        warnings.warn(f"no document has the label {target} = {0 if 0.0 not in counts else 1}: the target cannot be fitted and rejects nothing", stacklevel=2)
         return None
-    fitting = labelled.where("NOT aside")
-    found = _telling_words(fitting, target, vocabulary)
-    found = found or ["-"]  # no word tells: one that no text can hold
-    words = CountVectorizerModel.from_vocabulary(found, inputCol="words", outputCol="word_vector")
-    words.setBinary(True)
-    rows = materialize(_vectors(sample, words).select("id", "aside", F.col(target).alias("label"), "text_vector", "meta_vector").coalesce(4))
+    both = [c for c, r in counts.items() if r["n_aside"] in (0, r["n"])]  # too few to be split
+    shift = math.log(counts[1.0]["all"] / counts[0.0]["all"]) - math.log(counts[1.0]["n"] / counts[0.0]["n"])  # from the sample's shares of the classes to the true ones
+    own = [(c, r["n"] / r["all"]) for c, r in counts.items()]
+    of_class = F.when(F.col(target) == own[0][0], own[0][1]).when(F.col(target) == own[1][0], own[1][1])
+    rows = sample.select("id", "words", "shape", "meta", F.col(target).alias("label"), F.coalesce(stands * of_class, F.lit(1.0)).alias("weight"),
+                         (~F.col("aside") | F.col(target).isin(both)).alias("fits"), (F.col("aside") | F.col(target).isin(both)).alias("checks"))
+    rows = materialize(rows.coalesce(4))
     columns = ("text", "meta")
-    given: dict[str, DataFrame | None] = {c: None for c in columns}  # pseudo-labels each view receives
-    views: list[View] = []
+    given: dict[str, DataFrame | None] = {c: None for c in columns}  # pseudo-labels (id, label, weight) each view receives
     for number in range(rounds + 1):
-        views = []
+        fitting = {}
         for c in columns:
-            train = rows.where("label IS NOT NULL AND NOT aside").select(f"{c}_vector", "label")
+            train = rows.where("label IS NOT NULL AND fits").select("id", "words", "shape", "meta", "label", "weight")
             if given[c] is not None:
-                train = train.unionByName(given[c].select(f"{c}_vector", "label"))
-            model = LogisticRegression(featuresCol=f"{c}_vector", labelCol="label", regParam=0.01, maxIter=10).fit(train)
+                train = train.unionByName(rows.where("label IS NULL").drop("label").join(F.broadcast(given[c]), "id").select(train.columns))  # bounded by the pool
+            fitting[c] = train
+        found = _telling_words(fitting["text"].withColumnRenamed("label", target), target, vocabulary)
+        found = found or ["-"]  # no word tells: one that no text can hold
+        words = CountVectorizerModel.from_vocabulary(found, inputCol="words", outputCol="word_vector")
+        words.setBinary(True)
+        views = []
+        for c in columns:
+            train = _vectors(fitting[c], words).select(f"{c}_vector", "label", "weight")
+            model = LogisticRegression(featuresCol=f"{c}_vector", labelCol="label", weightCol="weight", regParam=0.01, maxIter=500, tol=1e-6).fit(train)
+            if model.summary.totalIterations >= 500:
+                warnings.warn(f"{target}, {c} view: the fit has not met its tolerance", stacklevel=2)
             views.append(View(c, model))
-        kept_aside = rows.where("label IS NOT NULL AND aside")
+        kept_aside = _vectors(rows.where("label IS NOT NULL AND checks"), words)
         for view in views:
             kept_aside = view.logit(kept_aside)
-        table = np.array([[r[f"{c}_logit"] for c in columns] + [r["label"]] for r in kept_aside.select(*(f"{c}_logit" for c in columns), "label").collect()])
+        table = np.array([[r[f"{c}_logit"] for c in columns] + [r["label"], r["weight"]] for r in kept_aside.select(*(f"{c}_logit" for c in columns), "label", "weight").collect()])
+        y, weight = table[:, 2], table[:, 3]
         for i, view in enumerate(views):
-            w = logistic(table[:, [i]], table[:, 2])
-            view.slope, view.offset = float(max(w[0], 0.0)), float(w[1] if w[0] > 0 else np.log((table[:, 2].sum() + 1) / (len(table) - table[:, 2].sum() + 1)))
+            w = logistic(table[:, [i]], y, weight=weight)
+            view.slope, view.offset = float(max(w[0], 0.0)), float(w[1] if w[0] > 0 else np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1)))
             table[:, i] = view.slope * table[:, i] + view.offset
         if number == rounds:
-            return Target(found, views, logistic(table[:, :2], table[:, 2]))
-        pool = rows.where("label IS NULL").drop("label")
+            combine = logistic(table[:, :2], y, weight=weight)
+            combine[-1] += shift
+            return Target(found, views, combine)
+        pool = _vectors(rows.where("label IS NULL").drop("label"), words)
         edge = float(np.log(confident / (1 - confident)))
         for view, other in zip(views, columns[::-1], strict=True):
-            sure = view.logit(pool).where(F.abs(f"{view.column}_logit") >= edge)
-            given[other] = sure.withColumn("label", (F.col(f"{view.column}_logit") > 0).cast("double"))
+            logit = F.col(f"{view.column}_logit") + F.lit(shift)
+            given[other] = materialize(view.logit(pool).where(F.abs(logit) >= edge).select("id", (logit > 0).cast("double").alias("label")))
     raise AssertionError
 
 
+def _per_class(labels: DataFrame, labelled_rows: int) -> DataFrame:
+    """``labels`` of at most so many ids and how many each ``stands_for``: rare combinations of labels whole, the others share the rest."""
+    sizes = sorted(((r["count"], tuple(r[t] for t in TARGETS)) for r in labels.groupBy(*TARGETS).count().collect()), key=lambda x: (x[0], str(x[1])))
+    drawn, left = labels.limit(0).withColumn("stands_for", F.lit(None).cast("double")), labelled_rows
+    for i, (size, values) in enumerate(sizes):
+        n = min(size, left // (len(sizes) - i))
+        left -= n
+        if n:
+            of = labels.where(" AND ".join(f"{t} <=> {'NULL' if v is None else f'{v:.1f}D'}" for t, v in zip(TARGETS, values, strict=True)))
+            drawn = drawn.union((of if n == size else of.orderBy(F.xxhash64("id"), "id").limit(n)).withColumn("stands_for", F.lit(size / n)))
+    return drawn
+
+
 def _sample(docs: DataFrame, labels: DataFrame, ids: DataFrame, labelled_rows: int, pool_rows: int, columns: dict[str, str]) -> DataFrame:
     """Features of the labelled sample and of the unlabelled pool; their ids are chosen first, so that no other text is looked at."""
     order = F.xxhash64("id")
-    chosen = labels.orderBy(order, "id").limit(labelled_rows)
-    pool = ids.join(labels.select("id"), "id", "left_anti").distinct().orderBy(order, "id").limit(pool_rows).select("id", *[F.lit(None).cast("double").alias(t) for t in TARGETS])
-    picked = chosen.unionByName(pool).select(F.col("id").alias("_picked"), *[F.col(t).alias(f"_label_{t}") for t in TARGETS])
-    marks = [f"_label_{t}" for t in TARGETS]
+    chosen = _per_class(labels, labelled_rows)
+    pool = ids.join(labels.select("id"), "id", "left_anti").distinct().orderBy(order, "id").limit(pool_rows).select("id", *[F.lit(None).cast("double").alias(t) for t in (*TARGETS, "stands_for")])
+    picked = chosen.unionByName(pool).select(F.col("id").alias("_picked"), *[F.col(t).alias(f"_label_{t}") for t in (*TARGETS, "stands_for")])
+    marks = [f"_label_{t}" for t in (*TARGETS, "stands_for")]
     own = docs.join(F.broadcast(picked), F.col(f"`{columns.get('id_col', 'doc_id')}`") == F.col("_picked"))  # bounded by the two limits
     rows = features(_seen(own, marks, **columns), marks)
-    return rows.select("id", "words", "shape", "meta", F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)).eqNullSafe(0).alias("aside"), *[F.col(f"_label_{t}").alias(t) for t in TARGETS])
+    return rows.select("id", "words", "shape", "meta", F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)).eqNullSafe(0).alias("aside"), *[F.col(f"_label_{t}").alias(t) for t in (*TARGETS, "stands_for")])
 
 
 def train(
@@ -220,9 +253,10 @@ def train(
     """Fit both targets; ``labels`` has (id, quality, toxic) with 0 and 1."""
     id_col = columns.get("id_col", "doc_id")
     majority = lambda t: (F.avg(F.col(t).cast("double")) >= 0.5).cast("double").alias(t)
-    own = labels.select(F.col(f"`{id_col}`").alias("id"), *TARGETS).where("id IS NOT NULL").groupBy("id").agg(*map(majority, TARGETS))
+    own = labels.select(F.col(f"`{id_col}`").alias("id"), *TARGETS).where("id IS NOT NULL").groupBy("id").agg(*map(majority, TARGETS)).where(" OR ".join(f"{t} IS NOT NULL" for t in TARGETS))
     ids = docs.select(F.col(f"`{id_col}`").alias("id")).where("id IS NOT NULL")
-    sample = materialize(_sample(docs, own.join(ids.distinct(), "id", "left_semi"), ids, labelled_rows, pool_rows, columns))
+    own = materialize(own.join(ids.distinct(), "id", "left_semi"))  # read once for each combination of labels
+    sample = materialize(_sample(docs, own, ids, labelled_rows, pool_rows, columns))
     return {t: _fit_target(sample, t, vocabulary, rounds, confident) for t in TARGETS}
 
 

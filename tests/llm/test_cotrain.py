@@ -51,3 +51,26 @@ def test_bounds_are_kept(tables):
     own = labels.select(F.col("doc_id").alias("id"), *[F.col(t).cast("double").alias(t) for t in C.TARGETS])
     sample = C._sample(docs, own, docs.select(F.col("doc_id").alias("id")), 50, 70, {})
     assert sample.where("quality IS NOT NULL").count() == 50 and sample.where("quality IS NULL").count() == 70
+
+
+def test_rare_classes_are_drawn_whole(spark):
+    own = spark.createDataFrame([(i, 1.0, float(i % 100 == 0)) for i in range(2000)] + [(2000, 0.0, 1.0)], "id long, quality double, toxic double")
+    drawn = C._per_class(own, 60).collect()
+    assert len(drawn) == 60 and sum(r.toxic for r in drawn) == 21 and sum(r.quality == 0 for r in drawn) == 1
+    assert abs(sum(r.stands_for for r in drawn) - 2001) < 1e-6 and {r.stands_for for r in drawn if r.toxic} == {1.0}
+
+
+def test_a_rare_target_still_rejects(spark):
+    """One label in 25, and a sample of a tenth of the labels: the rare ones are drawn whole, and unseen ones go."""
+    calm, rude = "a quiet walk along the river and home for tea number {}", "you rotten filthy scoundrel get lost vile pest number {}"
+    rows = [(i, (rude if i % 25 == 7 else calm).format(i)) for i in range(1200)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 25 == 7)) for i, _ in rows[:600]], "doc_id long, quality int, toxic int")
+    got = C.score(docs, C.train(docs, labels, labelled_rows=60)).collect()
+    assert all((r.toxic_score >= 0.5) == (r.doc_id % 25 == 7) for r in got)
+
+
+def test_a_missing_class_is_said(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    with pytest.warns(UserWarning, match="toxic = 1"):
+        C.train(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int"))
