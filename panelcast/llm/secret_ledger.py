@@ -61,11 +61,16 @@ BASE = (
     Rule("access", "1", r"AKIA[A-Z0-9]+", 0, 0, 20, ("akia",)),
     Rule("hex", "1", r"[0-9a-f]{24,}", 0, 0, 24),
 )
+#: The key from its BEGIN line to the matching END line (none other may begin before it); without one, to the end of the header fields and base64 lines.
+_PRIVATE_KEY = (
+    r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1-----"
+    r"|(?:(?:\s|\\[rn])+(?:(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n]*|[A-Za-z0-9+/=]{32,}|[A-Za-z0-9+/=]+(?=[ \t]*(?:[\r\n\\\"']|\Z))))*)"
+)
 #: Further public credential formats.
 EXTRA = (
-    Rule("private_key", "1", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0, 0, ("private key-----",)),
+    Rule("private_key", "1.1", _PRIVATE_KEY, 0, 0, 0, ("private key-----",)),
     Rule("jwt", "1", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0, 0, ("eyj",)),
-    Rule("url_password", "1", r"[a-z][a-z0-9+.-]{1,19}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{1,64}@", 0, 0, 0, ("://",)),
+    Rule("url_password", "1.1", r"[a-z][a-z0-9+.-]{1,19}://[^\x00-\x20/:@]*:[^\x00-\x20/:@]+@", 0, 0, 0, ("://",)),
 )
 RULES = BASE + EXTRA
 
