@@ -22,7 +22,8 @@ Words are encoded by the tokenizers library. White space after a character that
 space always starts a new match of the library's splitting pattern, and so does what follows
 a line break, if it is not white space. Texts are cut there, and the pieces, most of which
 recur, are encoded once each and remembered. In a text of lines with single spaces between
-words, that is each word; other texts are cut less finely.
+words, that is each word; other texts are cut less finely. A text that holds the string of an
+added token goes to the library whole, which gives that token's id for it.
 """
 
 from __future__ import annotations
@@ -92,7 +93,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(tokenizer_path)
-        library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted((re.escape(t.content) for t in library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self._added = re.compile("|".join(added)).search if added else lambda text: None
         self._after_space, self._bare = _Pieces(library, " ", remembered), _Pieces(library, "", remembered // 4)
         self._break = self._bare["\n"]
 
@@ -100,6 +102,8 @@ class PieceEncoder:
         return [self._text(t) for t in texts]
 
     def _text(self, text: str) -> bytes:
+        if self._added(text):
+            return self._bare._plain(text)
         out: list[bytes] = []
         lines = text.split("\n")
         for line in lines:
