@@ -8,11 +8,13 @@ tree, and blocks that follow each other within the same container. Maximum flow
 the page at the least cost; blocks on the source side are content.
 
 The classifier is trained on the pages themselves: blocks inside article or main elements
-are examples of content, blocks inside elements that are named or classed as navigation,
-adverts, forms and the like are examples of the rest, and what is learned is how the text of
+are examples of content, blocks inside elements for navigation, forms and the like, or with a
+class of just such a name, are examples of the rest, and what is learned is how the text of
 either looks (links, length, punctuation, kind of block, class names). It is fitted on the blocks of
 ``sample_pages`` pages, those with the smallest hashes of their id, ``sample_blocks`` blocks
-at most. The element names themselves add a fixed log-odds.
+at most. Telling elements add a fixed log-odds, class names take one away, much less if
+the word is only a part of the name (``has-sidebar``). An article or main inside an element
+with such a name starts afresh. Text and neighbours together can overrule any of it.
 
 Scripts, styles, comments of the markup, templates, form controls and the head never become
 blocks. Tags that are not closed end where the next one of their kind or their parent does.
@@ -36,7 +38,9 @@ from panelcast.llm.common import kind, logistic, narrow
 
 SAMPLE_PAGES = 2_000
 SAMPLE_BLOCKS = 60_000
-STRUCTURE = 8.0  # log-odds that a telling element adds
+STRUCTURE = 6.0  # log-odds that a telling element adds; under what the classifier (5) and the edges of a block (3) reach
+NAMED = 6.0  # log-odds that a class name takes away, by how telling it is; can be overruled likewise
+PART = 0.25  # how telling a word is that is only a part of a class name
 NEAR = 1.0  # smoothness between neighbours in one parent; less by the distance in the tree
 CONTAINER = 0.5  # smoothness between neighbours in one container
 
@@ -67,7 +71,8 @@ class Element:
     parent: int
     depth: int
     good: bool = False  # it or an ancestor holds content by its name
-    bad: bool = False
+    bad: bool = False  # the same for elements that hold something else
+    named: float = 0.0  # how telling a class name is that it or an ancestor has for something else
     names: float = 0.0  # good minus bad words among class names, it and its ancestors
 
 
@@ -80,11 +85,15 @@ class Block:
     text: str = ""
 
 
-def _named(attributes: str) -> tuple[bool, float]:
-    bad, good = False, 0.0
+def _named(attributes: str) -> tuple[float, float]:
+    bad, good = 0.0, 0.0
     for m in _NAMES.finditer(attributes):
-        words = [w.lower() for part in re.split(r"[^A-Za-z]+", m[1] or m[2] or m[3] or "") for w in _WORD.findall(part)]
-        bad = bad or any(w in _BAD_NAMES for w in words)
+        value = m[1] or m[2] or m[3] or ""
+        words = [w.lower() for part in re.split(r"[^A-Za-z]+", value) for w in _WORD.findall(part)]
+        if any(w in _BAD_NAMES for w in value.lower().split()):
+            bad = 1.0
+        elif any(w in _BAD_NAMES for w in words):
+            bad = max(bad, PART)
         good += any(w in _GOOD_NAMES for w in words)
     return bad, good
 
@@ -155,9 +164,12 @@ def blocks(page: str | None) -> tuple[list[Block], list[Element]]:
             if open_name in _SCOPE:
                 break
         parent = elements[stack[-1]]
-        bad_name, good_name = _named(m[3]) if m[3] else (False, 0.0)
-        bad = parent.bad or name in _BAD_TAGS or bad_name and name not in ("body", "html") or name == "header" and not parent.good
-        elements.append(Element(name, stack[-1], parent.depth + 1, parent.good or name in _GOOD_TAGS, bad, parent.names + good_name - bad_name))
+        bad_name, good_name = _named(m[3]) if m[3] else (0.0, 0.0)
+        if name in ("body", "html"):
+            bad_name = 0.0
+        above, before = (0.0, 0.0) if name in _GOOD_TAGS else (parent.named, parent.names)  # an article starts afresh
+        bad = parent.bad or name in _BAD_TAGS or name == "header" and not parent.good
+        elements.append(Element(name, stack[-1], parent.depth + 1, parent.good or name in _GOOD_TAGS, bad, max(above, bad_name), before + good_name - bad_name))
         stack.append(len(elements) - 1)
         links += name == "a"
         if name == "head":
@@ -188,6 +200,12 @@ def structure(found: list[Block], elements: list[Element]) -> np.ndarray:
     return np.array([-1 if elements[b.parent].bad else int(elements[b.parent].good) for b in found])
 
 
+def examples(found: list[Block], elements: list[Element]) -> np.ndarray:
+    """As ``structure``, with elements of just such a name as something else, and those with a part of one unknown."""
+    named = np.array([elements[b.parent].named for b in found])
+    return np.where(named >= 1, -1, np.where((named > 0) & (structure(found, elements) > 0), 0, structure(found, elements)))
+
+
 def _distance(a: int, b: int, elements: list[Element]) -> int:
     """Steps from one element to the other over their nearest common ancestor."""
     steps = 0
@@ -257,6 +275,10 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     if not found:
         return ""
     odds = np.clip(looks(found, elements) @ weights[:-1] + weights[-1], -5, 5) + STRUCTURE * structure(found, elements)
+    for i, b in enumerate(found):
+        if elements[b.parent].named:
+            # a name inside an article takes back what the article gives
+            odds[i] -= elements[b.parent].named * (NAMED + STRUCTURE * (elements[b.parent].good and not elements[b.parent].bad))
     return " ".join(b.text for b, content in zip(found, min_cut(odds, smoothness(found, elements)), strict=True) if content)
 
 
@@ -273,7 +295,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
         for b in batches:
             for page in b.column("html"):
                 found, elements = blocks(page.as_py())
-                side = structure(found, elements)
+                side = examples(found, elements)
                 known = side != 0
                 if known.any():
                     x = looks(found, elements)[known]
