@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bloom_lm, bpe_tree, cotrain, decontam, mih, mincut, secret_ledger, simhash_ball, token_store, url_digest
+from panelcast.llm import bloom_lm, bpe_tree, cotrain, decontam, mih, mincut, piece_agenda, prefix_trie, secret_ledger, simhash_ball, token_store, url_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,3 +135,35 @@ def op6(spark, folder):
 @query("op3_mincut_text")
 def op3(spark, folder):
     return mincut.extract(table(spark, folder, "pages"))
+
+
+def _crc32(codes: str) -> str:
+    """SQL for the unsigned crc32 of a list of byte values."""
+    bit = "xor(c >> 1, 3988292384 * (c & 1))"
+    byte = f"list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, x: {byte}), 4294967295)"
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, s, {_crc32("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 9 AS h FROM own),
+built AS (SELECT c.conv_id, list_concat(coalesce(b.s[1:h], []), c.s[h + 1:]) AS s FROM h c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, s, len(s) AS l, unnest(range(0, len(s) + 1)) AS d FROM built),
+n AS (SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (l = d), '')) AS ends_sha256 FROM p GROUP BY s[1:d], d),
+k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY p[1:d - 1], d - 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.p = k.p AND n.d = k.d),
+e AS (SELECT p, d, n_convs, n_children, unnest(range(0, d + 1)) AS u FROM m),
+sub AS (SELECT p[1:u] AS p, u AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * CASE WHEN d > 0 THEN strlen(p[d].t) ELSE 0 END) AS saved FROM e GROUP BY p[1:u], u)
+SELECT m.conv_id, m.d AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN sub ON m.p = sub.p AND m.d = sub.d LEFT JOIN n up ON up.p = m.p[1:m.d - 1] AND up.d = m.d - 1""",
+)
+def op11(spark, folder):
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query("op13_piece_agenda")
+def op13(spark, folder):
+    return piece_agenda.digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
