@@ -8,7 +8,9 @@ the ids of their bytes, or the unknown id where the vocabulary has no byte piece
 
 If no piece holds the space mark after another character, no merge crosses from a character
 to a following space mark: such stretches are encoded by themselves and kept in a bounded
-table, as most words come again. Other vocabularies run one agenda over the whole text.
+table, as most words come again. A new stretch also falls apart between marks (digits,
+punctuation, line breaks) that no piece joins to other characters and those. Other
+vocabularies run one agenda over the whole text.
 
 Each Arrow batch is checked against the sentencepiece library on its whole texts; ids that
 differ are an error that names the rows. Vocabularies of another type fail that check.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from panelcast.llm.common import kind, narrow
 
 SPACE = "▁"
-KEPT = 1 << 18  # stretches kept in a worker, twice at most, each of at most KEPT_LENGTH characters
+KEPT = 1 << 19  # stretches kept in a worker, twice at most, each of at most KEPT_LENGTH characters: some 250 MB
 KEPT_LENGTH = 64
 SHORT = 48  # characters up to which the agenda is a list instead of a heap
 _NEVER = float("inf")
@@ -43,13 +45,17 @@ _LOADED: dict[str, "PieceCodec"] = {}
 class _Kept(dict):
     """Ids by stretch. A full table becomes the older one, from which stretches that come again are taken over."""
 
-    def __init__(self, make, most: int):
-        self._make, self._most, self._older = make, most, {}
+    def __init__(self, make, most: int, parts=None):
+        self._make, self._most, self._older, self._parts = make, most, {}, parts
 
-    def __missing__(self, stretch: str) -> list[int]:
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
         ids = self._older.get(stretch)
         if ids is None:
-            ids = self._make(stretch)
+            # the garbage collector does not walk tuples of numbers again and again
+            if self._parts and len(parts := self._parts(stretch)) > 1:
+                ids = tuple(chain.from_iterable(map(self.__getitem__, parts)))
+            else:
+                ids = tuple(self._make(stretch))
         if len(stretch) <= KEPT_LENGTH:
             if len(self) >= self._most:
                 self._older = dict(self)
@@ -74,7 +80,20 @@ class PieceCodec:
         self._unknown, self.end = lib.unk_id(), lib.eos_id()
         self._apart = all(SPACE not in piece.lstrip(SPACE) for piece in self._cost)
         self._stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self._kept = _Kept(self.agenda, KEPT)
+        marks = re.escape("".join(self._marks()))
+        runs = re.compile(f"{SPACE}*[{marks}]+|[^{marks}]+").findall if marks else None
+        self._kept = _Kept(self.agenda, KEPT, runs)
+        self.names = list(map(str, range(lib.get_piece_size())))
+
+    def _marks(self) -> list[str]:
+        """Characters other than letters that no piece has next to anything but each other and the space mark."""
+        marks = {c for c in chain(map(chr, range(1, 128)), *self._cost) if not c.isalpha() and c != SPACE}
+        while True:
+            pairs = [pair for piece in self._cost for pair in zip(piece, piece[1:], strict=False) if SPACE not in pair]
+            out = {c for pair in pairs if (pair[0] in marks) != (pair[1] in marks) for c in pair if c in marks}
+            if not out:
+                return sorted(marks)
+            marks -= out
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         normal = self.library.normalize(text)
@@ -202,7 +221,7 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pydict({
                 "id": part.column("id"),
                 "n_tokens": pa.array(np.fromiter(map(len, ids), np.int64, len(ids))),
-                "ids_sha256": pa.array([sha(" ".join(map(str, x)).encode()).hexdigest() for x in ids], pa.string()),
+                "ids_sha256": pa.array([sha(" ".join(map(c.names.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string()),
                 "decoded_sha256": pa.array([sha(c.decode(x).encode()).hexdigest() for x in ids], pa.string()),
             })
 

@@ -31,7 +31,7 @@ def test_whole_text_agenda_equals_stretches(text):
 def test_kept_table_is_bounded():
     made = []
     kept = A._Kept(lambda s: made.append(s) or [len(s)], 2)
-    assert [kept[s] for s in ("a", "bb", "ccc", "a", "dddd", "a")] == [[1], [2], [3], [1], [4], [1]]
+    assert [kept[s] for s in ("a", "bb", "ccc", "a", "dddd", "a")] == [(1,), (2,), (3,), (1,), (4,), (1,)]
     assert len(kept) <= 2 and made == ["a", "bb", "ccc", "dddd"]
 
 
@@ -51,6 +51,6 @@ def test_rows(spark):
 
 def test_a_difference_is_an_error():
     c = A.PieceCodec(PATH)
-    c._kept["▁wrong"] = [5]
+    c._kept["▁wrong"] = (5,)
     with pytest.raises(ValueError, match="rows \\[1\\]"):
         c.checked(["right", "wrong"])
