@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bloom_lm, bpe_tree, cotrain, decontam, mih, mincut, piece_agenda, prefix_trie, secret_ledger, simhash_ball, token_store, url_digest
+from panelcast.llm import bloom_lm, bpe_tree, cotrain, decontam, mih, mincut, piece_agenda, prefix_trie, secret_ledger, simhash_ball, spelling, token_store, url_digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -167,3 +167,27 @@ def op11(spark, folder):
 @query("op13_piece_agenda")
 def op13(spark, folder):
     return piece_agenda.digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS r FROM documents),
+each AS (SELECT doc_id, r, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x FROM runs WHERE length(r) >= 7 GROUP BY doc_id, r),
+hashed AS (SELECT r, k, {_crc32("list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)")} AS h FROM each),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, k FROM hashed),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS c FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+pair AS (SELECT DISTINCT * FROM (
+  SELECT a.word, a.n, b.word AS o, b.n AS o_n FROM cut a JOIN v b ON a.c = b.word
+  UNION ALL SELECT b.word, b.n, a.word, a.n FROM cut a JOIN v b ON a.c = b.word
+  UNION ALL SELECT a.word, a.n, b.word, b.n FROM cut a JOIN cut b ON a.c = b.c AND a.word <> b.word) WHERE levenshtein(word, o) = 1),
+best AS (SELECT word, count(*) AS n_near, list(struct_pack(o := o, o_n := o_n) ORDER BY o_n DESC, encode(o))[1] AS top FROM pair GROUP BY word),
+w AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.o_n >= 10 * v.n THEN top.o END AS form, CASE WHEN top.o_n >= 10 * v.n THEN top.o_n END AS form_n
+  FROM v LEFT JOIN best ON v.word = best.word),
+walk AS (WITH RECURSIVE s(word, goal) AS (SELECT word, form FROM w WHERE form IS NOT NULL UNION ALL SELECT s.word, w.form FROM s JOIN w ON s.goal = w.word WHERE w.form IS NOT NULL) SELECT * FROM s),
+ends AS (SELECT walk.word, goal FROM walk JOIN w ON walk.goal = w.word WHERE w.form IS NULL)
+SELECT w.word, form, coalesce(goal, w.word) AS root, n, n_near, form_n FROM w LEFT JOIN ends ON w.word = ends.word""",
+)
+def op12(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
