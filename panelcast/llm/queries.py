@@ -177,11 +177,11 @@ each AS (SELECT doc_id, r, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '
 hashed AS (SELECT r, k, {_crc32("list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)")} AS h FROM each),
 made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, k FROM hashed),
 v AS (SELECT word, sum(k)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
-cut AS (SELECT DISTINCT word, n, substr(word, 1, i) || substr(word, i + 2) AS c FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS c FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
 pair AS (SELECT DISTINCT * FROM (
   SELECT a.word, a.n, b.word AS o, b.n AS o_n FROM cut a JOIN v b ON a.c = b.word
   UNION ALL SELECT b.word, b.n, a.word, a.n FROM cut a JOIN v b ON a.c = b.word
-  UNION ALL SELECT a.word, a.n, b.word, b.n FROM cut a JOIN cut b ON a.c = b.c AND a.word <> b.word) WHERE levenshtein(word, o) = 1),
+  UNION ALL SELECT a.word, a.n, b.word, b.n FROM cut a JOIN cut b ON a.c = b.c AND a.i = b.i AND a.word <> b.word)),
 best AS (SELECT word, count(*) AS n_near, list(struct_pack(o := o, o_n := o_n) ORDER BY o_n DESC, encode(o))[1] AS top FROM pair GROUP BY word),
 w AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.o_n >= 10 * v.n THEN top.o END AS form, CASE WHEN top.o_n >= 10 * v.n THEN top.o_n END AS form_n
   FROM v LEFT JOIN best ON v.word = best.word),
