@@ -15,6 +15,18 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select([F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have yet, whatever its own columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import kind, narrow
+from panelcast.llm.common import kind, narrow, unused
 from panelcast.session import materialize
 
 RADIUS = 3
@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with all its columns: of each component the row of the smallest id stays (null ids last, then by the hash of the text; of repeated rows one)."""
     _, _, firsts = _grouped(docs, id_col, text_col, shingle)
-    firsts = firsts.select(F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("_k"), F.col("first.no_id").alias("_n"), F.col("first.text_hash").alias("_h"))
+    k, no_id, h = unused(docs, "k", "no_id", "text_hash")
+    firsts = firsts.select(F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias(k), F.col("first.no_id").alias(no_id), F.col("first.text_hash").alias(h))
     own = F.col(f"`{id_col}`")
-    keyed = docs.select("*", F.coalesce(own.cast("string"), F.lit("")).alias("_k"), own.isNull().alias("_n"), F.xxhash64(f"`{text_col}`").alias("_h"))
-    return keyed.join(firsts, ["_k", "_n", "_h"], "left_semi").dropDuplicates(["_k", "_n", "_h"]).select([f"`{c}`" for c in docs.columns])
+    keyed = docs.select("*", F.coalesce(own.cast("string"), F.lit("")).alias(k), own.isNull().alias(no_id), F.xxhash64(f"`{text_col}`").alias(h))
+    return keyed.join(firsts, [k, no_id, h], "left_semi").dropDuplicates([k, no_id, h]).select([f"`{c}`" for c in docs.columns])

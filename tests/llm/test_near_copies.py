@@ -63,3 +63,39 @@ def test_odd_rows(spark):
     assert [str(x) for x in kept(spark, rows)] == ["1", "3", "6", "None"]
     assert kept(spark, [(1, "only one")]) == [1]
     assert pipe.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2, 3), (2, "A b", 4, 5, 6)], "doc_id long, text string, node long, k long, no_id long")
+    assert [tuple(r) for r in pipe.near_duplicates(spark, docs, "").collect()] == [(1, "a b", 1, 2, 3)]
+
+
+def test_texts_of_a_template_make_few_candidates(spark, monkeypatch):
+    from panelcast.llm import near_copies as N
+
+    rng, texts, seen = random.Random(1), [], []
+    template = [f"t{i}" for i in range(140)]
+    for i in range(800):
+        texts.append((i, " ".join(template + [f"w{rng.randrange(100_000)}" for _ in range(60)])))
+    inner = N._linked
+
+    def counted(pairs, sets):
+        seen.append(pairs.distinct().count())
+        return inner(pairs, sets)
+
+    monkeypatch.setattr(N, "_linked", counted)
+    assert kept(spark, texts) == sorted(range(800), key=str)
+    assert sum(seen) <= 3 * 800, seen
+
+
+def test_bound_of_the_parities():
+    import numpy as np
+
+    from panelcast.llm import near_copies as N
+
+    rng = random.Random(2)
+    for _ in range(100):
+        pool = [rng.randrange(1 << 64) for _ in range(400)]
+        a, b = (np.array(sorted(rng.sample(pool, rng.randint(1, 300))), np.uint64) for _ in range(2))
+        bits = [np.frombuffer(N.parities(x), np.uint64) for x in (a, b)]
+        assert len(np.intersect1d(a, b)) <= N.most_shared(len(a), len(b), *bits)

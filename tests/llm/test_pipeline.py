@@ -7,8 +7,8 @@ import tiktoken
 import corpus_pipeline as pipe
 from panelcast.llm import bpe_tree
 from tests.llm.test_decontam import plain as plain_hits
+from tests.llm.test_near_copies import plain_keep
 from tests.llm.test_secret_ledger import plain as plain_spans
-from tests.llm.test_simhash_ball import plain_components, plain_fp
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -41,9 +41,14 @@ def test_quality(spark, steps):
 
 def test_near_duplicates(steps):
     _, before, after = steps[1]
-    docs = sorted(rows(before).items())
-    comp = plain_components([plain_fp(r.text) for _, r in docs])
-    assert sorted(rows(after)) == sorted({docs[c][0] for c in comp})
+    assert sorted(rows(after), key=str) == plain_keep([(r.doc_id, r.text) for r in before.collect()])
+
+
+def test_no_documents(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    for _, stage in pipe.STAGES:
+        docs = pipe.materialize(stage(spark, docs, FOLDER))
+        assert docs.count() == 0
 
 
 def test_decontamination(spark, steps):
