@@ -14,7 +14,6 @@ from panelcast.session import scratch_path
 
 PATH = P.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def plain(text):
