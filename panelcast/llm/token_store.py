@@ -4,7 +4,7 @@ One file holds, one after the other:
 
 * independent zstandard frames, each with the content checksum of the format, of 65,536
   little-endian unsigned 32-bit ids (the last one fewer);
-* a skippable frame with the document index: zstandard-compressed id ranges, n_tokens each;
+* a skippable frame with the document index: zstandard-compressed n_tokens and ids of the documents;
 * a skippable frame with the seek table: for each data frame its compressed size, its plain
   size and the low 32 bits of the xxhash64 of its plain bytes, then a fixed footer.
 
@@ -13,9 +13,9 @@ and the index from the end and decompresses only the frames that hold the wanted
 
 Documents are dealt out in ranges of ascending id (null ids first; rows of the same id in
 the order of a hash of their text), so the files in order are the whole corpus in order. Each task
-attempt writes a file of its own name and reports it; only reported files are in the
-manifest, a small table in the same folder, so that lost executors and repeated attempts
-leave the set intact. Null texts count as empty and hold the end id alone. Repeated rows are
+attempt writes files of its own names, each of at most ``FILE_DOCS`` documents and about
+``FILE_IDS`` ids, and reports them; only reported files are in the manifest, a small table in
+the same folder, so that lost executors and repeated attempts leave the set intact. Null texts count as empty and hold the end id alone. Repeated rows are
 kept. Only id and text are read.
 
 Words are encoded by the tokenizers library. White space after a character that is not white
@@ -48,7 +48,8 @@ from panelcast.llm.common import narrow
 from panelcast.session import scratch_path
 
 FRAME = 1 << 16  # ids in a frame
-REMEMBERED = 500_000  # pieces of text kept with their ids in a worker
+FILE_DOCS, FILE_IDS = 1 << 18, 1 << 26  # a file is closed when it holds as many
+REMEMBERED = 400_000  # pieces of text kept with their ids in a worker, twice at most
 LONGEST_REMEMBERED = 64  # characters of such a piece
 _SKIP_INDEX, _SKIP_SEEK, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _HEAD = struct.Struct("<II")
@@ -62,25 +63,34 @@ _BYTES = dict(zip([b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b
 
 
 class _Pieces(dict):
-    """Ids of pieces, each after ``before``; encoded by the library when first asked for, and remembered while there is room."""
+    """Ids of pieces, each after ``before``; encoded by the library when first asked for. A full table becomes the older one, from which pieces that come again are taken over."""
 
     def __init__(self, library, before: str, room: int):
         super().__init__()
-        self._library, self._model, self._before, self._room = library, library.model, before, room
+        self._library, self._model, self._before, self._room, self._older = library, library.model, before, room, {}
+        self._marks: dict[str, bytes] = {}
         self._mark = before.encode().decode("latin-1").translate(_BYTES)
 
     def __missing__(self, piece: str) -> bytes:
-        stem = piece.rstrip(_MARKS)
-        if piece.isalpha() and max(piece) < "\u0250":  # letters are one match: straight to the library's model
-            ids = array("I", [t.id for t in self._model.tokenize(self._mark + piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-        elif stem and len(stem) < len(piece) and stem[-1] < "\u0250" and stem[-1].isalpha():
-            ids = self[stem] + self._plain(piece[len(stem) :])  # marks after a letter always start a match
-        else:
-            ids = self._plain(self._before + piece)
-        if len(self) < self._room and len(piece) <= LONGEST_REMEMBERED:
+        ids = self._older.get(piece)
+        if ids is None:
+            ids = self._new(piece)
+        if len(piece) <= LONGEST_REMEMBERED:
+            if len(self) >= self._room:
+                self._older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
+    def _new(self, piece: str) -> bytes:
+        stem = piece.rstrip(_MARKS)
+        if piece.isalpha() and max(piece) < "\u0250":  # letters are one match: straight to the library's model
+            return array("I", [t.id for t in self._model.tokenize(self._mark + piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        if stem and len(stem) < len(piece) and stem[-1] < "\u0250" and stem[-1].isalpha():
+            marks = piece[len(stem) :]  # marks after a letter always start a match
+            return self[stem] + (self._marks.get(marks) or self._marks.setdefault(marks, self._plain(marks)) if len(marks) < 3 else self._plain(marks))
+        return self._plain(self._before + piece)
+
     def _plain(self, text: str) -> bytes:
         return array("I", self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
@@ -149,9 +159,16 @@ class Writer:
         self._held = 0
         self._entries: list[tuple[int, int, int]] = []
         self._sizes: list[int] = []
+        self._ids: list[int | None] = []
+        self.n_tokens = 0
+
+    def __len__(self) -> int:
+        return len(self._sizes)
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: bytes, document: int | None = None) -> None:
         self._sizes.append(len(ids) // 4)
+        self._ids.append(document)
+        self.n_tokens += len(ids) // 4
         self._waiting.append(ids)
         self._held += len(ids)
         if self._held >= self._frame:
@@ -170,11 +187,12 @@ class Writer:
         """Writes what is left, the index and the seek table; returns the number of ids."""
         if self._held:
             self._write_frame(b"".join(self._waiting))
-        index = self._zstd.compress(np.array(self._sizes, "<u8").tobytes())
+        known = np.array([i is not None for i in self._ids], np.uint8).tobytes()
+        index = self._zstd.compress(np.array([self._sizes, [i or 0 for i in self._ids]], "<i8").tobytes() + known)
         self._out.write(_HEAD.pack(_SKIP_INDEX, len(index) + 8) + index + struct.pack("<Q", len(index)))
         table = np.array(self._entries, _ENTRY).tobytes()
         self._out.write(_HEAD.pack(_SKIP_SEEK, len(table) + _FOOT.size) + table + _FOOT.pack(len(self._entries), 0x80, _SEEKABLE))
-        return sum(self._sizes)
+        return self.n_tokens
 
 
 class Reader:
@@ -195,7 +213,10 @@ class Reader:
         size = struct.unpack("<Q", file.read(8))[0]
         file.seek(at - _HEAD.size - 8 - size)
         self._zstd = zstandard.ZstdDecompressor()
-        self.n_tokens = np.frombuffer(self._zstd.decompress(file.read(size)), "<u8").astype(np.int64)
+        index = self._zstd.decompress(file.read(size))
+        documents = len(index) // 17
+        self.n_tokens, self.ids = np.frombuffer(index, "<i8", 2 * documents).reshape(2, documents).astype(np.int64)
+        self.known = np.frombuffer(index, np.uint8, documents, 16 * documents).astype(bool)
         self._begin = np.concatenate([[0], np.cumsum(self.n_tokens)]) * 4
         self._packed = np.concatenate([[0], np.cumsum(self._entries["packed"], dtype=np.int64)])
         self._plain = np.concatenate([[0], np.cumsum(self._entries["plain"], dtype=np.int64)])
@@ -233,8 +254,8 @@ def _store(folder: str):
     return fs.LocalFileSystem(), folder
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", frame: int = FRAME) -> DataFrame:
-    """Encode and write; returns the manifest ``(file, name, first_row, n_docs, n_tokens, start, ids)`` in file order."""
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", frame: int = FRAME, file_docs: int = FILE_DOCS, file_ids: int = FILE_IDS) -> DataFrame:
+    """Encode and write; returns the manifest ``(file, part, name, n_docs, n_tokens, start)`` in file order."""
     spark = docs.sparkSession
     base = narrow(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("tie"))
     dealt = base.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
@@ -242,36 +263,38 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, id
     def run(batches):
         codes, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         store, root = _store(folder)
-        task, ids, writer, stream = TaskContext.get(), [], None, None
-        name = f"ids-{task.partitionId():06d}-{uuid.uuid4().hex}.zst"
+        task, part, writer, stream, name = TaskContext.get().partitionId(), 0, None, None, ""
+
+        def closed():
+            n = writer.close()
+            stream.close()
+            return pa.RecordBatch.from_pydict({"file": pa.array([task], pa.int32()), "part": pa.array([part], pa.int32()), "name": [name], "n_docs": pa.array([len(writer)], pa.int64()), "n_tokens": pa.array([n], pa.int64())})
+
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                if writer is None:
-                    store.create_dir(root, recursive=True)
-                    stream = store.open_output_stream(f"{root}/{name}", compression=None)
-                    writer = Writer(stream, frame)
-                for x in codes.encode([t or "" for t in part.column("text").to_pylist()]):
-                    writer.add(x + end)
-                ids.extend(part.column("id").to_pylist())
+                some = b.slice(at, 256)
+                for i, x in zip(some.column("id").to_pylist(), codes.encode([t or "" for t in some.column("text").to_pylist()]), strict=True):
+                    if writer is not None and (len(writer) >= file_docs or writer.n_tokens >= file_ids):
+                        yield closed()
+                        writer, part = None, part + 1
+                    if writer is None:
+                        store.create_dir(root, recursive=True)
+                        name = f"ids-{task:06d}-{part:04d}-{uuid.uuid4().hex}.zst"
+                        stream = store.open_output_stream(f"{root}/{name}", compression=None)
+                        writer = Writer(stream, frame)
+                    writer.add(x + end, i)
         if writer is not None:
-            n = writer.close()
-            stream.close()
-            yield pa.RecordBatch.from_pydict({
-                "file": pa.array([task.partitionId()], pa.int32()), "name": [name], "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([n], pa.int64()),
-                "ids": pa.array([np.array([0 if i is None else i for i in ids], "<i8").tobytes()]), "nulls": pa.array([sum(i is None for i in ids)], pa.int64()),
-            })
+            yield closed()
 
     path = f"{folder}/manifest"
-    dealt.mapInArrow(run, "file int, name string, n_docs long, n_tokens long, ids binary, nulls long").write.parquet(path)
+    dealt.mapInArrow(run, "file int, part int, name string, n_docs long, n_tokens long").write.parquet(path)
     return manifest(spark, folder)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Files in order with the ids before each; one row a file, so the running total is over few rows."""
     rows = spark.read.parquet(f"{folder}/manifest")
-    before = rows.select("file", F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)).alias("start"))
-    return rows.join(before, "file").withColumn("start", F.coalesce("start", F.lit(0)))
+    return rows.withColumn("start", F.coalesce(F.sum("n_tokens").over(Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def read(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
@@ -292,29 +315,28 @@ def _read(files: DataFrame, folder: str, id_col: str, fields: str, row) -> DataF
     def run(batches):
         store, root = _store(folder)
         for b in batches:
-            for name, start, ids, nulls in zip(*(b.column(c).to_pylist() for c in ("name", "start", "ids", "nulls")), strict=True):
+            for name, start in zip(b.column("name").to_pylist(), b.column("start").to_pylist(), strict=True):
                 with store.open_input_file(f"{root}/{name}") as f:
                     reader = Reader(f)
-                    ids = np.frombuffer(ids, "<i8").tolist()
                     starts = (start + np.concatenate([[0], np.cumsum(reader.n_tokens)])).tolist()
                     for at in range(0, len(reader), 1024):
                         many = range(at, min(at + 1024, len(reader)))
                         rows = [row(starts[i], reader.read(i)) for i in many]
-                        columns = {"id": pa.array([None if i < nulls else ids[i] for i in many], pa.int64())}
+                        columns = {"id": pa.array(reader.ids[many.start : many.stop], mask=~reader.known[many.start : many.stop])}
                         columns |= {n: pa.array(v, t) for n, t, v in zip(names, types, zip(*rows, strict=True), strict=True)}
                         yield pa.RecordBatch.from_pydict(columns)
 
-    spread = files.select("name", "start", "ids", "nulls").repartition(_tasks(files.sparkSession), "name")
+    spread = files.select("name", "start").repartition(_tasks(files.sparkSession), "name")
     return spread.mapInArrow(run, f"id long, {fields}").withColumnRenamed("id", id_col)
 
 
 def lookup(spark: SparkSession, folder: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, ids binary)`` of the wanted ids only; other frames are not decompressed.
 
-    Wanted ids are joined to the index of the files; unknown and null ids give no row, an
+    Wanted ids are joined to the indexes of the files; unknown and null ids give no row, an
     id that stands on several rows gives one row for each.
     """
-    index = manifest(spark, folder).select("name", "ids", "nulls").mapInArrow(_positions, "name string, at long, id long")
+    index = spark.read.parquet(f"{folder}/manifest").select("name").repartition(_tasks(spark), "name").mapInArrow(_positions(folder), "name string, at long, id long")
     asked = narrow(wanted, id=id_col).select(F.col("id").cast("long").alias("id")).distinct()
     found = index.join(asked, "id").repartition(_tasks(spark), "name").sortWithinPartitions("name", "at")
 
@@ -333,11 +355,17 @@ def lookup(spark: SparkSession, folder: str, wanted: DataFrame, id_col: str = "d
     return found.select("id", "name", "at").mapInArrow(run, "id long, ids binary").withColumnRenamed("id", id_col)
 
 
-def _positions(batches):
-    for b in batches:
-        for name, ids, nulls in zip(*(b.column(c).to_pylist() for c in ("name", "ids", "nulls")), strict=True):
-            ids = np.frombuffer(ids, "<i8")[nulls:]
-            yield pa.RecordBatch.from_pydict({"name": pa.array([name] * len(ids), pa.string()), "at": pa.array(np.arange(nulls, nulls + len(ids))), "id": pa.array(ids.astype(np.int64))})
+def _positions(folder: str):
+    def run(batches):
+        store, root = _store(folder)
+        for b in batches:
+            for name in b.column("name").to_pylist():
+                with store.open_input_file(f"{root}/{name}") as f:
+                    reader = Reader(f)
+                at = np.flatnonzero(reader.known)
+                yield pa.RecordBatch.from_pydict({"name": pa.array([name] * len(at), pa.string()), "at": pa.array(at), "id": pa.array(reader.ids[at])})
+
+    return run
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

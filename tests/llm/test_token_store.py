@@ -59,11 +59,13 @@ def test_only_the_wanted_frames_are_read_and_damage_is_seen():
         damaged.read(14)
 
 
-def test_rows(spark):
+@pytest.mark.parametrize("bounds", [{}, {"file_docs": 1}, {"file_ids": 3}])
+def test_rows(spark, bounds):
     rows = [(5, "five words <|endoftext|>", "a"), (None, "none", "b"), (2, None, "c"), (2, "two", "d"), (2, "two", "d"), (9, "", "e"), (7, "long " * 50_000, "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
     folder = scratch_path(spark, "store")
-    S.write(docs, folder, PATH)
+    files = S.write(docs, folder, PATH, **bounds)
+    assert not bounds or files.count() >= 4
     got = sorted((tuple(r) for r in S.read(spark, folder).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == [None, 2, 2, 2, 5, 7, 9]
     at = 0
