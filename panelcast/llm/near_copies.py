@@ -7,8 +7,8 @@ found in three steps, each verified on whole sets:
 * an exact prefix filter gives all other candidates: in any one order of all shingles, two
   sets alike by 0.8 share one of the first n - ceil(0.8 n) + 1 of either. The order puts the
   shingles seen rarely first, so that those of templates lie outside the prefixes of texts
-  with enough of their own. Under each shared shingle every text is held against the
-  smallest; the links form components;
+  with enough of their own. Under each shared shingle every text is held against one of
+  them, three times another one; the links form components;
 * texts that share a shingle of their prefixes and are still in different components are held
   against each other, if their sizes, the places of the shingle and the parities of their
   sets allow the similarity. These bounds are exact: no pair is left out by them.
@@ -40,6 +40,7 @@ from panelcast.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 CELLS = 1 << 20  # of the table of counts
+TURNS = 3  # times that the members of a key are held against one of them
 STRETCH = 1 << 21  # shingles among which recurring ones are counted
 PARITIES = 512  # bits, one a class of shingles
 _NOTHING = -1  # the only key of a text without words
@@ -187,30 +188,33 @@ def linked(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, root)`` of every node that is alike another one."""
     by_print = materialize(_by_fingerprint(nodes))
     buckets = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    heads = materialize(buckets.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    members = materialize(buckets.join(heads, "key").select("key", "node", "n", "pos", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"), F.col("head.pos").alias("head_pos")))
+    shared = materialize(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"))
+    members = materialize(buckets.join(shared, "key").select("key", "node", "n", "pos"))
     # one row a node is looked up by its id too: copies of a text do not meet in one task
     asked = members.select("node").union(by_print.select(F.explode(F.array("a", "b")))).distinct()
     wanted = nodes.join(asked, "node", "left_semi").select("first.no_id", "first.k", "node")
     texts = keyed.join(wanted, ["no_id", "k", "node"], "left_semi").dropDuplicates(["no_id", "k", "node"]).select("node", "text")
     sets = materialize(texts.mapInArrow(_sets, "node long, found binary"))
 
-    links = _linked(by_print, sets)
-    roots = materialize(components(links))
-    needed = SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("head_n")) - 1e-9
-    fits = (F.least("n", "head_n") >= SIMILARITY * F.greatest("n", "head_n") - 1e-9) & (F.least(F.col("n") - F.col("pos"), F.col("head_n") - F.col("head_pos")) >= needed)
-    stars = members.where((F.col("node") != F.col("head")) & fits).select("node", "head").distinct()
-    of_node, of_head = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("node", "head"))
-    stars = stars.join(of_node, "node", "left").join(of_head, "head", "left").where(F.coalesce("node_root", "node") != F.coalesce("head_root", "head"))
-    links = materialize(links.union(_linked(stars.select(_ordered("head", "node")), sets)))
-    roots = materialize(components(links))
-
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "pos", "head")
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    # the smallest has met everyone
-    open_rows = placed.where("node <> head").join(split, "key", "left_semi").join(nodes.select("node", "parity"), "node")
-    rest = open_rows.select("key", "node", "root", "n", "pos", "parity").repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
-    more = _linked(materialize(rest.distinct()), sets)
+    def undecided(roots: DataFrame) -> DataFrame:
+        """Members of the keys under which several components meet."""
+        placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "pos")
+        split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        return placed.join(split, "key", "left_semi")
+
+    tried, links = by_print.distinct(), _linked(by_print, sets)
+    for turn in range(TURNS):
+        rows = materialize(undecided(components(links)))
+        heads = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")).alias("h"))
+        needed = SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("h.n")) - 1e-9
+        fits = (F.least("n", "h.n") >= SIMILARITY * F.greatest("n", "h.n") - 1e-9) & (F.least(F.col("n") - F.col("pos"), F.col("h.n") - F.col("h.pos")) >= needed)
+        stars = rows.join(heads, "key").where((F.col("root") != F.col("h.root")) & fits).select(_ordered("node", "h.node")).distinct()
+        stars = materialize(stars.join(tried, ["a", "b"], "left_anti"))
+        tried, links = materialize(tried.union(stars)), materialize(links.union(_linked(stars, sets)))
+    # written first: after a join on the same key Spark leaves the repartitioning out, and adaptive execution may then deal a key to several tasks
+    rows = materialize(undecided(components(links)).join(nodes.select("node", "parity"), "node"))
+    rest = rows.select("key", "node", "root", "n", "pos", "parity").repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
+    more = _linked(materialize(rest.distinct().join(tried, ["a", "b"], "left_anti")), sets)
     return materialize(components(links.union(more)))
 
 
