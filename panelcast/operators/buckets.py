@@ -8,7 +8,9 @@ does not spread. Two exact schemes are used instead.
 * Unbounded frames (fills, running totals, row numbers): one summary row per
   (series, bucket), an exclusive prefix over the summaries, then a window inside
   each bucket that starts from the carried value. One summary row stands for
-  65,536 slots, so the prefix of even a series of 10^11 rows is small.
+  65,536 slots, so the prefix of even a series of 10^11 rows is small. Rows on no
+  regular clock (ticks) are cut by their number instead: a range partitioning by
+  (series, position) puts them in order, and 65,536 neighbours are a bucket.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.schemas import HOUR, KEY, TS
+from panelcast.session import materialize
 
 ROWS_PER_BUCKET = 8192
 ROWS_PER_RUN = 65536
@@ -99,19 +102,22 @@ def running(
     keys=(KEY,),
     inclusive: bool = True,
     step: int = HOUR,
-    size: int = ROWS_PER_RUN,
+    size: int | None = ROWS_PER_RUN,
+    rows: int = ROWS_PER_RUN,
 ) -> DataFrame:
     """Add unbounded running columns: ``{name: (kind, column)}``.
 
     Kinds: ``sum`` and ``max`` of the rows so far, ``last`` known value so far,
     ``next`` known value from here on. ``pos`` must be unique per row within the
     keys. All columns share the same two exchanges: one for the bucket summaries
-    (combined map-side) and one for the rows.
+    (combined map-side) and one for the rows. A bucket spans ``size`` positions;
+    without a ``size`` it is ``rows`` rows, whatever positions they have, and ``pos``
+    may be of any type with an order.
     """
     p = slot(TS, step) if pos is None else (F.col(pos) if isinstance(pos, str) else pos)
     kinds = {name: kind for name, (kind, _) in specs.items()}
     base = df.select("*", p.alias("_run_pos"), *[c.alias(f"_v_{n}") for n, (_, c) in specs.items()])
-    base = base.withColumn("_run_b", F.floor(F.col("_run_pos") / size))
+    base = counted_buckets(base, keys, rows) if size is None else base.withColumn("_run_b", F.floor(F.col("_run_pos") / size))
     summary = base.groupBy(*keys, "_run_b").agg(*[_reduce(k, f"_v_{n}").alias(n) for n, k in kinds.items()])
     carried = summary.select(*keys, "_run_b", *[_over(k, n, keys, "_run_b", 1).alias(f"_c_{n}") for n, k in kinds.items()])
     inside, edge = [*keys, "_run_b"], 0 if inclusive else 1
@@ -121,7 +127,17 @@ def running(
     )
 
 
-def row_position(df: DataFrame, name: str, *, pos, keys=(KEY,), size: int = ROWS_PER_RUN) -> DataFrame:
+def counted_buckets(base: DataFrame, keys, rows: int) -> DataFrame:
+    """Add ``_run_b``: numbers that rise along (keys, ``_run_pos``) and change after ``rows`` rows at most.
+
+    Written, as the numbers of a second evaluation could differ: the ranges come from a sample.
+    """
+    ordered = base.repartitionByRange(*keys, "_run_pos").sortWithinPartitions(*keys, "_run_pos")
+    number = F.monotonically_increasing_id()  # the partition in the high digits, then the place in it
+    return materialize(ordered.withColumn("_run_b", F.floor(number / rows).cast("bigint")))
+
+
+def row_position(df: DataFrame, name: str, *, pos, keys=(KEY,), size: int | None = ROWS_PER_RUN, rows: int = ROWS_PER_RUN) -> DataFrame:
     """0-based row number along ``pos`` without a whole-series window."""
-    out = running(df, {name: ("sum", F.lit(1))}, pos=pos, keys=keys, inclusive=False, size=size)
+    out = running(df, {name: ("sum", F.lit(1))}, pos=pos, keys=keys, inclusive=False, size=size, rows=rows)
     return out.withColumn(name, F.col(name).cast("bigint"))

@@ -29,13 +29,11 @@ def duplicate_counts(df: DataFrame, by, keys) -> DataFrame:
     )
 
 
-def stamp_gaps(df: DataFrame, *, keys=(KEY,), step: int = HOUR) -> DataFrame:
-    """Distinct stamps with ``gap_seconds`` to the previous one (NULL for the first)."""
+def stamp_gaps(df: DataFrame, *, keys=(KEY,), rows: int = ROWS_PER_RUN) -> DataFrame:
+    """Distinct stamps with ``gap_seconds`` to the previous one (NULL for the first), over buckets of ``rows`` rows."""
     d = df.select(*keys, TS).distinct()
     pos = F.unix_micros(TS)
-    out = running(
-        d, {"_p": ("last", F.col(TS))}, pos=pos, keys=keys, inclusive=False, size=ROWS_PER_RUN * step * 1_000_000
-    )
+    out = running(d, {"_p": ("last", F.col(TS))}, pos=pos, keys=keys, inclusive=False, size=None, rows=rows)
     return out.withColumn("gap_seconds", ((pos - F.unix_micros("_p")) / 1_000_000).cast("bigint")).drop("_p")
 
 

@@ -18,11 +18,13 @@ def seconds(n: int) -> Column:
     return F.make_dt_interval(secs=F.lit(n))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, columns, *, keys=(KEY,), step: int = HOUR) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, columns, *, keys=(KEY,), step: int | None = None, rows: int = ROWS_PER_RUN) -> DataFrame:
     """Latest right values stamped at or before each left row, carried per column.
 
-    Both sides are laid on one time line and the right values carried forward by
-    bucket, so neither a range join nor a whole-series sort is needed.
+    Both sides are laid on one time line and the right values carried forward over
+    buckets of ``rows`` rows, so neither a range join nor a whole-series sort is needed
+    and ticks of any density spread over tasks. With a ``step`` (rows on a regular clock)
+    a bucket is that many steps instead, which saves the ordering.
     """
     keys = list(keys)
     l = left.select("*", F.lit(1).alias("_side"))
@@ -31,7 +33,7 @@ def asof_backward(left: DataFrame, right: DataFrame, columns, *, keys=(KEY,), st
     line = F.unix_micros(TS) * 2 + F.col("_side")
     out = running(
         both, {c: ("last", F.col(f"_r_{c}")) for c in columns},
-        pos=line, keys=keys, size=ROWS_PER_RUN * step * 2_000_000,
+        pos=line, keys=keys, size=rows * step * 2_000_000 if step else None, rows=rows,
     )
     return out.where(F.col("_side") == 1).select(*left.columns, *columns)
 

@@ -77,6 +77,19 @@ def _(spark, d):
     return q.select(KEY, TS, "threshold", flag.alias("is_high_residual_load"))
 
 
+@query(
+    "w3_expanding_high_load_by_hour",
+    with_ctes(pn.H) + f"""SELECT series_key, ts, {r('thr')} AS threshold, CASE WHEN net >= thr THEN 1 ELSE 0 END::INTEGER AS is_high_net_load FROM (
+    SELECT *, CASE WHEN count(net) OVER w >= 10 THEN quantile_cont(net, 0.9) OVER w END AS thr FROM (SELECT series_key, ts, load - 10 * activity AS net FROM h)
+    WINDOW w AS (PARTITION BY series_key, hour(ts) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+)
+def _(spark, d):
+    """Every hour of the day has its own past."""
+    h = pn.hourly(spark, d).select(KEY, TS, (F.col("load") - 10 * F.col("activity")).alias("net"), F.hour(TS).alias("hour"))
+    q = expanding_quantile(h, "net", 0.9, "threshold", pos=slot(), keys=(KEY, "hour"), least=10)
+    return q.select(KEY, TS, "threshold", F.coalesce((F.col("net") >= F.col("threshold")).cast("int"), F.lit(0)).alias("is_high_net_load"))
+
+
 @query(
     "w4_causal_spike_threshold",
     with_ctes(pn.H) + f"""SELECT series_key, ts, {r('thr')} AS threshold, CASE WHEN price > thr THEN 1 ELSE 0 END::INTEGER AS spike FROM (

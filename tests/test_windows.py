@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 
 import numpy as np
@@ -5,9 +6,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelcast.operators import dedupe, fills, grid
-from panelcast.operators.buckets import over_buckets, row_position, running, slot
-from panelcast.operators.expanding import expanding_quantile
+from panelcast.operators import dedupe, fills, grid, joins
+from panelcast.operators.buckets import counted_buckets, over_buckets, row_position, running, slot
+from panelcast.operators.expanding import WaveletTree, expanding_quantile
 from panelcast.operators.rolling import lag_exprs, rolling_exprs, shaped_profit
 from panelcast.schemas import KEY, TS
 
@@ -57,7 +58,7 @@ def test_row_position(hourly):
 @pytest.mark.parametrize("current", [True, False])
 def test_expanding_quantile(hourly, current):
     data = {"a": walk(80, 3), "b": walk(30, 4)}
-    got = expanding_quantile(hourly(data), "price", 0.9, "q", pos=slot(), least=5, include_current=current, size=9, bins=6)
+    got = expanding_quantile(hourly(data), "price", 0.9, "q", pos=slot(), least=5, include_current=current, size=9, block=8)
     for k, v in data.items():
         mine = [r["q"] for r in got.where(F.col(KEY) == k).orderBy(TS).collect()]
         for i, m in enumerate(mine):
@@ -68,6 +69,64 @@ def test_expanding_quantile(hourly, current):
                 assert m == pytest.approx(np.quantile(past, 0.9))
 
 
+def test_wavelet_tree():
+    rng = np.random.default_rng(1)
+    symbols, before = rng.integers(0, 13, 200), rng.integers(0, 5, 13)
+    tree = WaveletTree(symbols, 4)
+    for upto in (0, 1, 57, 200):
+        line = np.sort(np.concatenate([np.repeat(np.arange(13), before), symbols[:upto]]))
+        rank = np.arange(len(line))
+        found, k = tree.smallest(np.full(len(line), upto), rank, before)
+        assert (found == line).all() and (k == rank - np.searchsorted(line, line)).all()
+
+
+@pytest.mark.parametrize("current", [True, False])
+def test_expanding_quantile_of_a_long_series_in_small_tasks(spark, current, monkeypatch):
+    from panelcast.operators import expanding
+
+    n = 60_000
+    rng = np.random.default_rng(2)
+    v = np.round(np.cumsum(rng.normal(size=n)), 1)  # drifts: ties, and a quantile that moves through the blocks
+    df = spark.createDataFrame([("a", i, None if i % 17 == 0 else float(x)) for i, x in enumerate(v)], f"{KEY} string, t long, x double")
+    make = expanding._solver
+
+    def watched(include_current, names):
+        solve = make(include_current, names)
+
+        def run(values, wanted):
+            if max(len(values), len(wanted)) > 8192:
+                raise AssertionError("a task holds too much")
+            return solve(values, wanted)
+
+        return run
+
+    monkeypatch.setattr(expanding, "_solver", watched)
+    got = expanding_quantile(df, "x", 0.9, "q", pos=F.col("t"), include_current=current, size=4096, block=2048)
+    mine = {r["t"]: r["q"] for r in got.collect()}
+    line = []
+    for i, x in enumerate(v):
+        if current and i % 17:
+            bisect.insort(line, x)
+        if i % 501 == 0 or i == n - 1:
+            assert mine[i] == (pytest.approx(np.quantile(line, 0.9)) if line else None)
+        if not current and i % 17:
+            bisect.insort(line, x)
+
+
+def test_counted_buckets_spread_ticks_of_one_hour(spark):
+    n = 50_000
+    ticks = spark.range(n).select(F.lit("a").alias(KEY), F.timestamp_micros(F.col("id") * 70_000).alias(TS), (F.col("id") % 5).alias("m"))
+    left, right = ticks.where("m <> 0").select(KEY, TS), ticks.where("m = 0").select(KEY, TS, F.col(TS).alias("seen"))
+    got = joins.asof_backward(left, right, ["seen"], rows=500)
+    wrong = got.where(F.unix_micros("seen") != F.floor(F.unix_micros(TS) / 350_000) * 350_000)
+    assert got.count() == left.count() and wrong.count() == 0 and got.where("seen IS NULL").count() == 0
+    base = ticks.withColumn("_run_pos", F.unix_micros(TS))
+    per = counted_buckets(base, [KEY], 500).groupBy("_run_b").agg(F.count(F.lit(1)).alias("n"), F.min("_run_pos").alias("a"), F.max("_run_pos").alias("z")).orderBy("_run_b").collect()
+    assert len(per) >= 100 and max(r["n"] for r in per) <= 500 and all(x["z"] < y["a"] for x, y in zip(per, per[1:]))
+    gaps = dedupe.stamp_gaps(ticks.unionByName(ticks), rows=700)
+    assert gaps.count() == n and gaps.where("gap_seconds IS NULL").count() == 1
+
+
 def test_fills_and_interpolation(hourly):
     df = hourly({"a": [None, 1, None, None, 4, None]})
     assert [x[0] for x in values(fills.ffill(df, ["price"]), "price")] == [None, 1, 1, 1, 4, 4]
