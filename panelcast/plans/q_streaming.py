@@ -8,7 +8,7 @@ from panelcast.plans.registry import ORACLE, query, r, with_ctes
 from panelcast.schemas import KEY, TS
 from panelcast.session import scratch_path
 from panelcast.streaming import operators as S
-from panelcast.streaming.feeds import run_available, stream_folder
+from panelcast.streaming.feeds import in_slices, run_available, stream_folder
 
 
 def _events(spark, d):
@@ -57,6 +57,17 @@ def _(spark, d):
     return run_available(S.first_per_key(e), "first")
 
 
+@query(
+    "t4_last_per_key",
+    """SELECT event_type AS series_key, date_trunc('hour', ts) AS ts, arg_max(event_id, event_id) AS event_id, arg_max(user_id, event_id) AS user_id FROM events
+    WHERE date_trunc('hour', ts) < (SELECT max(date_trunc('hour', ts)) - INTERVAL 2 HOUR FROM events) GROUP BY 1, 2""",
+)
+def _(spark, d):
+    """Newest event of each hour, given out when the watermark has passed the hour's stamp."""
+    e = _events(spark, d).select(KEY, F.date_trunc("hour", TS).alias(TS), "event_id", "user_id")
+    return run_available(S.last_per_key(e, "event_id"), "last")
+
+
 @query(
     "t5_online_conformal",
     with_ctes(fc.FC).replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT *, row_number() OVER (PARTITION BY series_key, horizon_h ORDER BY origin_ts) AS i FROM weekly),
@@ -66,13 +77,13 @@ def _(spark, d):
 )
 def _(spark, d):
     w = fc.weekly(pn.hourly_filled(spark, d)).select(KEY, "horizon_h", "origin_ts", "q10", "q90", "y")
-    return run_available(S.online_conformal(_as_stream(spark, w, "scored")), "conformal")
+    return run_available(S.online_conformal(in_slices(w, "origin_ts", "scored")), "conformal")
 
 
 @query("t6_risk_monitor", ORACLE["w19_rolling_tail_risk"])
 def _(spark, d):
     p = pn.hourly_filled(spark, d).select(KEY, TS, (F.col("price") - 50).alias("profit"))
-    return run_available(S.risk_monitor(_as_stream(spark, p, "profits")), "risk")
+    return run_available(S.risk_monitor(in_slices(p, TS, "profits")), "risk")
 
 
 @query(
