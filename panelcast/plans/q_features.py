@@ -81,12 +81,12 @@ def _(spark, d):
 
 
 _G = "(dayofyear(ts) + (hour(ts) + minute(ts) / 60.0::DOUBLE) / 24 - 1) * (2 * pi() / 365)"
-_SUN = f"""sun0 AS (SELECT *, {_G} AS g FROM h), sun1 AS (SELECT *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS decl,
+SUN = f"""sun0 AS (SELECT *, {_G} AS g FROM {{source}}), sun1 AS (SELECT *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS decl,
   229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) AS eq FROM sun0),
 sun AS (SELECT *, degrees(asin(sin(radians(51)) * sin(decl) + cos(radians(51)) * cos(decl) * cos(radians((hour(ts) * 60 + minute(ts) + eq + 40) / 4 - 180)))) AS elev FROM sun1)"""
 
 
-@query("c11_c12_solar_elevation_and_night", with_ctes(pn.H, _SUN) + f"SELECT series_key, ts, {r('elev')} AS elevation, {r('price * least(greatest((elev + 6) / 6, 0), 1)')} AS gen_solar FROM sun")
+@query("c11_c12_solar_elevation_and_night", with_ctes(pn.H, SUN.format(source="h")) + f"SELECT series_key, ts, {r('elev')} AS elevation, {r('price * least(greatest((elev + 6) / 6, 0), 1)')} AS gen_solar FROM sun")
 def _(spark, d):
     h = pn.hourly(spark, d).select(KEY, TS, F.col("price").alias("gen_solar"), fu.solar_elevation().alias("elevation"))
     return K.solar_night(h, elevation=F.col("elevation"))

@@ -5,32 +5,34 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import dedupe, joins
 from panelcast.operators.supervised import rolling_origin_folds
+from panelcast.plans import forecasts as fc
 from panelcast.plans import panels as pn
 from panelcast.plans.registry import query, r, with_ctes
 from panelcast.schemas import DAY, HOUR, KEY, TS
+from panelcast.session import materialize
 from panelcast.sources.tables import read_table
 
 
 @query(
     "j1_align_sources",
-    with_ctes(pn.M, pn.FUELS, pn.WEATHER) + f"""SELECT m.series_key, m.ts, {r('m.price')} AS price, m.load, {r('f.ttf_gas')} AS ttf_gas, {r('w.t')} AS temp_europe
-    FROM m LEFT JOIN fuels f ON m.ts = f.ts LEFT JOIN (SELECT ts, temperature_2m AS t FROM wl WHERE location = 'EUROPE') w ON m.ts = w.ts""",
+    with_ctes(pn.M, pn.FUELS, pn.WEATHER) + f"""SELECT m.series_key, m.ts, {r('m.price')} AS price, m.load, {r('f.ttf_gas')} AS ttf_gas, w.location, {r('w.temperature_2m')} AS temperature_2m,
+    {r('w.windspeed_10m')} AS windspeed_10m FROM m LEFT JOIN fuels f ON m.ts = f.ts LEFT JOIN wl w ON m.ts = w.ts""",
 )
 def _(spark, d):
-    eu = pn.weather_long(spark, d).where("location = 'EUROPE'").select(TS, F.col("temperature_2m").alias("temp_europe"))
+    """Market rows with the day's fuel quote and the weather of every region."""
     m = pn.market(spark, d).select(KEY, TS, "price", "load")
-    return m.join(pn.fuels(spark, d).select(TS, "ttf_gas"), TS, "left").join(eu, TS, "left")
+    return m.join(pn.fuels(spark, d).select(TS, "ttf_gas"), TS, "left").join(pn.weather_long(spark, d), TS, "left")
 
 
 @query(
     "j2_inner_actuals",
-    with_ctes(pn.H) + f"""SELECT h.series_key, h.ts, {r('h.price')} AS price, {r('a.load')} AS other_load FROM h JOIN h a
-    ON h.ts = a.ts AND a.series_key = 'click' WHERE h.price IS NOT NULL AND a.load IS NOT NULL""",
+    with_ctes(pn.H) + f"""SELECT h.series_key, h.ts, {r('h.price')} AS price, {r('a.load')} AS other_load FROM h JOIN hraw a
+    ON h.ts = a.ts + INTERVAL 24 HOUR AND a.series_key = h.series_key WHERE h.price IS NOT NULL AND a.load IS NOT NULL""",
 )
 def _(spark, d):
-    h = pn.hourly(spark, d)
-    other = h.where("series_key = 'click'").select(TS, F.col("load").alias("other_load"))
-    return h.select(KEY, TS, "price").join(other, TS).dropna()
+    """Every series next to its own actuals as published a day later: rows known on both sides."""
+    other = joins.shifted(pn.hourly_raw(spark, d), {"other_load": "load"}, 24 * HOUR)
+    return pn.hourly(spark, d).select(KEY, TS, "price").join(other, [KEY, TS]).dropna()
 
 
 @query(
@@ -106,14 +108,14 @@ def _(spark, d):
 
 @query(
     "j9_common_keys",
-    with_ctes(pn.H) + f"""SELECT a.ts, {r('a.price - b.price')} AS spread FROM (SELECT * FROM hraw WHERE series_key = 'click') a
-    JOIN (SELECT * FROM hraw WHERE series_key = 'view') b ON a.ts = b.ts""",
+    with_ctes(fc.FC) + f"""SELECT a.series_key, a.origin_ts, a.horizon_h, {r('a.q50')} AS weekly, {r('b.q50')} AS daily FROM weekly a
+    JOIN daily b ON a.series_key = b.series_key AND a.origin_ts = b.origin_ts AND a.horizon_h = b.horizon_h""",
 )
 def _(spark, d):
-    raw = pn.hourly_raw(spark, d)
-    a = raw.where("series_key = 'click'").select(TS, F.col("price").alias("a"))
-    b = raw.where("series_key = 'view'").select(TS, F.col("price").alias("b"))
-    return a.join(b, TS).select(TS, (F.col("a") - F.col("b")).alias("spread"))
+    """Two forecast tables on the (series, origin, horizon) rows that both have."""
+    h = materialize(pn.hourly_filled(spark, d))
+    on = [KEY, "origin_ts", "horizon_h"]
+    return fc.weekly(h).select(*on, F.col("q50").alias("weekly")).join(fc.seasonal(h).select(*on, F.col("q50").alias("daily")), on)
 
 
 @query(
@@ -174,16 +176,18 @@ def _(spark, d):
     return dedupe.duplicate_counts(e, [KEY], [TS]).join(holes, KEY, "left").fillna(0, subset=["n_gaps"])
 
 
-@query("o5_set_difference", "SELECT date_trunc('hour', ts) AS ts FROM events WHERE event_type = 'click' EXCEPT SELECT date_trunc('hour', ts) FROM events WHERE event_type = 'view'")
+@query("o5_set_difference", with_ctes(pn.H) + "SELECT series_key, ts FROM hraw EXCEPT SELECT series_key, ts + INTERVAL 24 HOUR FROM hraw")
 def _(spark, d):
-    raw = pn.hourly_raw(spark, d)
-    return raw.where("series_key = 'click'").select(TS).subtract(raw.where("series_key = 'view'").select(TS))
+    """Hours of each series without the same hour a day before."""
+    raw = pn.hourly_raw(spark, d).select(KEY, TS)
+    return raw.subtract(joins.shifted(raw, {}, 24 * HOUR))
 
 
-@query("o6_set_intersection", "SELECT date_trunc('hour', ts) AS ts FROM events WHERE event_type = 'click' INTERSECT SELECT date_trunc('hour', ts) FROM events WHERE event_type = 'view'")
+@query("o6_set_intersection", with_ctes(pn.H) + "SELECT series_key, ts FROM hraw INTERSECT SELECT series_key, ts + INTERVAL 24 HOUR FROM hraw")
 def _(spark, d):
-    raw = pn.hourly_raw(spark, d)
-    return raw.where("series_key = 'click'").select(TS).intersect(raw.where("series_key = 'view'").select(TS))
+    """Hours of each series that it also has a day before."""
+    raw = pn.hourly_raw(spark, d).select(KEY, TS)
+    return raw.intersect(joins.shifted(raw, {}, 24 * HOUR))
 
 
 @query("o7_sorted_by_key_and_metric", with_ctes(pn.H) + f"SELECT series_key, ts, {r('load')} AS load FROM hraw ORDER BY series_key, load DESC, ts")

@@ -7,8 +7,10 @@ from panelcast.functions.fundamentals import residual_load_skipping
 from panelcast.operators import constraints as K
 from panelcast.operators import fills, grid
 from panelcast.operators import quality as Q
+from panelcast.operators.joins import hours
 from panelcast.operators.order_stats import grouped_quantiles, two_sample
 from panelcast.plans import panels as pn
+from panelcast.plans.q_features import SUN
 from panelcast.plans.q_grid import HS, BOUNDS
 from panelcast.plans.registry import query, r, with_ctes
 from panelcast.schemas import DAY, HOUR, KEY, TS
@@ -200,13 +202,22 @@ def _(spark, d):
     return Q.missing_by_decile(pn.market(spark, d), "gen_solar", "load")
 
 
+_RULES = {
+    "negative_generation:gen_solar": "gen_solar - 30 < -1e-3", "solar_at_full_night:gen_solar": "abs(gen_solar - 30) > 1 AND elev < -6",
+    "both_directions_positive:FR_to_DELU": "FR_to_DELU > 1 AND DELU_to_FR > 1",
+}
+
+
 @query(
     "a17_violation_counts",
-    with_ctes(pn.M) + "SELECT series_key, rule, n FROM (SELECT series_key, count(*) FILTER (gen_solar - 30 < -1e-3) AS \"negative_generation:gen_solar\", count(*) FILTER (FR_to_DELU > 1 AND DELU_to_FR > 1) AS \"both_directions_positive:FR_to_DELU\" FROM m GROUP BY 1) UNPIVOT (n FOR rule IN (\"negative_generation:gen_solar\", \"both_directions_positive:FR_to_DELU\"))",
+    with_ctes(pn.M, "mh AS (SELECT * REPLACE (ts + (dayofyear(ts) % 24) * INTERVAL 1 HOUR AS ts) FROM m)", SUN.format(source="mh"))
+    + "SELECT series_key, rule, n FROM (SELECT series_key, " + ", ".join(f'count(*) FILTER ({c}) AS "{n}"' for n, c in _RULES.items())
+    + " FROM sun GROUP BY 1) UNPIVOT (n FOR rule IN (" + ", ".join(f'"{n}"' for n in _RULES) + "))",
 )
 def _(spark, d):
-    m = pn.market(spark, d).select(KEY, TS, (F.col("gen_solar") - 30).alias("gen_solar"), "FR_to_DELU", "DELU_to_FR")
-    return K.violation_counts(m).where("rule NOT LIKE 'solar_at%'")
+    """All rules; the days stand at the hours of the clock in turn, so that some lie at night."""
+    at = (F.col(TS) + hours(F.dayofyear(TS) % 24)).alias(TS)
+    return K.violation_counts(pn.market(spark, d).select(KEY, at, (F.col("gen_solar") - 30).alias("gen_solar"), "FR_to_DELU", "DELU_to_FR"))
 
 
 # ---- audits of an imputation: interpolated generation columns of the market panel ----

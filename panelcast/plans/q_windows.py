@@ -150,9 +150,9 @@ _DOWN = "OVER (PARTITION BY series_key ORDER BY ts ROWS BETWEEN CURRENT ROW AND
     {r(f'coalesce(last_value(price IGNORE NULLS) {_UP}, first_value(price IGNORE NULLS) {_DOWN})')} AS filled FROM d""",
 )
 def _(spark, d):
-    h = pn.daily(spark, d).select(KEY, TS, *[F.col("price").alias(c) for c in ("forward", "backward", "filled")])
-    out = fills.bfill(fills.ffill(h, ["forward"], step=DAY), ["backward"], step=DAY)
-    return fills.ffill_bfill(out, ["filled"], step=DAY)
+    h = pn.daily(spark, d).select(KEY, TS, "price")
+    both = running(h, {"forward": ("last", F.col("price")), "backward": ("next", F.col("price"))}, step=DAY)
+    return both.select(KEY, TS, "forward", "backward", F.coalesce("forward", "backward").alias("filled"))
 
 
 @query(
