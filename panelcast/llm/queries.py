@@ -62,7 +62,7 @@ _SECRETS = (
     ("hex", "[0-9a-f]+", 0, 24),
     ("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
-    ("url_password", r"[a-z][a-z0-9+.-]{1,19}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{1,64}@", 0, 0),
+    ("url_password", r"[a-z][a-z0-9+.-]{1,19}://[^\x00-\x20/:@]*:[^\x00-\x20/:@]+@", 0, 0),
 )
 
 
