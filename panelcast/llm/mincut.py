@@ -301,7 +301,8 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
                     x = looks(found, elements)[known]
                     yield pa.RecordBatch.from_pydict({"x": pa.array(x.tolist(), pa.list_(pa.float64())), "y": pa.array((side[known] > 0).astype(np.float64))})
 
-    rows = base.join(F.broadcast(ids), base["id"].eqNullSafe(ids["id"]), "left_semi").select("html").mapInArrow(run, "x array<double>, y double").limit(sample_blocks).toArrow()
+    found = base.join(F.broadcast(ids), base["id"].eqNullSafe(ids["id"]), "left_semi").select("html").mapInArrow(run, "x array<double>, y double")
+    rows = found.orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample_blocks).toArrow()  # the same rows, however the files are laid out
     y = np.asarray(rows.column("y")) if rows.num_rows else np.zeros(0)
     if not 0 < y.sum() < len(y):
         return UNTRAINED
