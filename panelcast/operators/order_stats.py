@@ -177,3 +177,22 @@ def two_sample(df: DataFrame, keys, value: str, second: str) -> DataFrame:
         *keys, "n1", "n2", "ks", "wasserstein", u.alias("u"),
         F.when(var > 0, (u - n1 * n2 / 2.0) / F.sqrt(var)).alias("z"),
     )
+
+
+def rank_sums(df: DataFrame, keys, value: str, flags) -> DataFrame:
+    """Per key: ``n`` values, ``ties`` (sum of t^3 - t) and, for every boolean column of ``flags``, how many rows hold and the sum of their average ranks.
+
+    The values are counted and ordered once for all flags: one row per distinct value with a count per flag.
+    """
+    keys, flags = list(keys), list(flags)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_t"), *[F.count_if(F.col(f)).alias(f"_c{f}") for f in flags])
+    binned = value_bins(counts, keys, "_x")
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = binned.groupBy(*keys, "_bin").agg(F.sum("_t").alias("_bt")).withColumn("_start", F.coalesce(F.sum("_bt").over(before), F.lit(0))).drop("_bt")
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    t = F.col("_t").cast("double")
+    rank = F.col("_start") + F.coalesce(F.sum("_t").over(inside), F.lit(0)) + (t + 1) / 2
+    ranked = binned.join(starts, [*keys, "_bin"]).withColumn("_rank", rank)
+    return ranked.groupBy(*keys).agg(
+        F.sum("_t").alias("n"), F.sum(t * t * t - t).alias("ties"), *[F.sum(f"_c{f}").alias(f"n_{f}") for f in flags], *[F.sum(F.col(f"_c{f}") * F.col("_rank")).alias(f"ranks_{f}") for f in flags]
+    )

@@ -10,80 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.probability import normal_two_sided, student_cdf, student_two_sided
 from panelcast.operators.buckets import over_buckets, row_position, slot
 from panelcast.operators.order_stats import attach, grouped_quantiles
 from panelcast.schemas import HOUR, KEY
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    f = d
-    m = 0
-    while True:
-        m += 1
-        if m > 1_000_000:
-            raise ArithmeticError(f"incomplete beta function did not converge at a={a}, b={b}, x={x}")
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
-            f *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            return f
-
-
-def beta_cdf(a: float, b: float, x: float) -> float:
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
-
-
-def t_cdf(t: float, df: float) -> float:
-    tail = 0.5 * beta_cdf(df / 2, 0.5, df / (df + t * t))
-    return 1 - tail if t > 0 else tail
-
-
-def ks_p_value(d: float, n1: float, n2: float) -> float:
-    """Asymptotic two-sided p of the two-sample Kolmogorov-Smirnov statistic."""
-    lam = d * math.sqrt(n1 * n2 / (n1 + n2))
-    if lam < 0.2:
-        return 1.0
-    return max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))))
-
-
-def _row_fn(fn, kind="double"):
-    """A scalar special function over the few result rows of a test."""
-
-    @F.pandas_udf(kind)
-    def apply(*cols: pd.Series) -> pd.Series:
-        return pd.Series([None if any(pd.isna(v) for v in row) else fn(*row) for row in zip(*cols)], dtype="float64")
-
-    return apply
-
-
 def p_student(stat: Column, df: Column, one_sided: bool = False) -> Column:
-    fn = (lambda t, n: t_cdf(t, n)) if one_sided else (lambda t, n: 2 * t_cdf(-abs(t), n))
-    return _row_fn(fn)(stat, df.cast("double"))
-
-
-def p_normal(stat: Column) -> Column:
-    return _row_fn(lambda z: math.erfc(abs(z) / math.sqrt(2)))(stat)
-
-
-def p_ks(d: Column, n1: Column, n2: Column) -> Column:
-    return _row_fn(ks_p_value)(d, n1.cast("double"), n2.cast("double"))
+    return student_cdf(stat, df) if one_sided else student_two_sided(stat, df)
 
 
 def forecast_order(step: int = HOUR) -> Column:
@@ -136,7 +70,7 @@ def diebold_mariano(
 
 def with_p_value(tested: DataFrame, *, weights: str = "flat", one_sided: bool = False) -> DataFrame:
     if weights == "bartlett":
-        return tested.withColumn("p_value", p_normal(F.col("statistic")))
+        return tested.withColumn("p_value", normal_two_sided(F.col("statistic")))
     return tested.withColumn("p_value", p_student(F.col("statistic"), F.col("n") - 1, one_sided))
 
 

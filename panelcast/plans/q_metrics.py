@@ -194,12 +194,38 @@ def _(spark, d):
     return t.join(s, [KEY, "segment"])
 
 
-@query("m13_m14_p_values")
+def _simpson(f: str, steps: int = 4000) -> str:
+    """Integral of ``f`` (of ``x``) from 0 to ``abs(statistic)``, as SQL."""
+    x = f"(abs(statistic) * i / {steps})"
+    weight = f"(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"abs(statistic) / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * {f.replace('x', x)}))"
+
+
+_STUDENT_P = f"(1 - 2 * exp(lgamma(n / 2.0::DOUBLE) - lgamma((n - 1) / 2.0::DOUBLE)) / sqrt((n - 1) * pi()) * {_simpson('pow(1 + x * x / (n - 1), -n / 2.0::DOUBLE)')})"
+_NORMAL_P = f"(1 - 2 / sqrt(2 * pi()) * {_simpson('pow(2.718281828459045, -0.5::DOUBLE * x * x)')})"
+
+
+def _dm_p_sql():
+    def tested(variant, flat):
+        lags = ", ".join(f"lag(d, {k}) OVER (PARTITION BY series_key ORDER BY horizon_h, origin_ts) AS l{k}" for k in (1, 2))
+        g = " + ".join(f"avg((d - m) * (l{k} - m))" if flat else f"(1 - {k} / 3::DOUBLE) * covar_samp(d, l{k})" for k in (1, 2))
+        fix = " * sqrt((count(*) - 5 + 6 / count(*)::DOUBLE) / count(*))" if flat else ""
+        return f"""SELECT '{variant}' AS variant, series_key, count(*) AS n, first(m) AS loss_diff_mean, first(m) / sqrt((avg((d - m) * (d - m)) + 2 * ({g})) / count(*)){fix} AS statistic
+        FROM (SELECT *, avg(d) OVER (PARTITION BY series_key) AS m, {lags} FROM (SELECT *, e1 * e1 - e2 * e2 AS d FROM pr)) GROUP BY 2"""
+
+    half = f"CASE WHEN statistic > 0 THEN 1 - {_STUDENT_P} / 2 ELSE {_STUDENT_P} / 2 END"
+    return f""", te AS ({tested('flat', True)} UNION ALL {tested('bartlett', False)})
+    SELECT variant, series_key, n, {r('loss_diff_mean', 4)} AS loss_diff_mean, {r('statistic')} AS statistic, CASE WHEN variant = 'flat' THEN {r(_STUDENT_P)} ELSE {r(_NORMAL_P)} END AS p_value,
+    CASE WHEN variant = 'flat' THEN {r(half)} END AS p_one_sided FROM te"""
+
+
+@query("m13_m14_p_values", with_ctes(fc.FC, _PAIR) + _dm_p_sql(), digits={"loss_diff_mean": 4})
 def _(spark, d):
     p = _pairs(spark, d)
     flat = S.with_p_value(S.diebold_mariano(p, [KEY], "e1", "e2", horizon=3))
+    flat = flat.withColumn("p_one_sided", S.p_student(F.col("statistic"), F.col("n") - 1, one_sided=True))
     bart = S.with_p_value(S.diebold_mariano(p, [KEY], "e1", "e2", horizon=3, weights="bartlett"), weights="bartlett")
-    return flat.withColumn("variant", F.lit("flat")).unionByName(bart.withColumn("variant", F.lit("bartlett")))
+    return flat.withColumn("variant", F.lit("flat")).unionByName(bart.withColumns({"variant": F.lit("bartlett"), "p_one_sided": F.lit(None).cast("double")}))
 
 
 @query("m16_bootstrap_interval")

@@ -1,5 +1,7 @@
 """Aggregations, profiles and imputation audits (A)."""
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from panelcast.functions import timefeatures as tf
@@ -173,7 +175,8 @@ def _(spark, d):
     )
 
 
-_CC = ["price", "load", "temp_a", "gen_solar", "gen_wind_onshore"]
+_FLOWS = [f"{p}_to_DELU" for p in ("FR", "AT", "CH")] + [f"DELU_to_{p}" for p in ("FR", "AT", "CH")]
+_CC = ["price", "load", "temp_a", "temp_b", *GENS, *_FLOWS]
 
 
 @query(
@@ -314,6 +317,31 @@ def _(spark, d):
     return Q.masked_audit(c, Q.mcar_mask(c, 0.2, seed=7), lambda x: fills.ffill_bfill(x, ["value"], keys=[KEY, "metric"]))
 
 
+_A26 = {"other_borders": [c for c in _FLOWS if "FR" not in c]}
+_A26_MISSING = [c for c in _FLOWS if "FR" in c] + GENS
+
+
+def _normal_p(z: str) -> str:
+    """Two-sided normal p by Simpson's rule, as SQL."""
+    f = f"(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5::DOUBLE * ({z}) * ({z}) * i / 2000 * i / 2000)"
+    return f"(1 - 2 / sqrt(2 * pi()) * abs({z}) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: {f})))"
+
+
+@query(
+    "a26_missing_dependence",
+    with_ctes(pn.M, "ac AS (SELECT *, " + " + ".join(f"coalesce(abs({c}), 0)" for c in _A26["other_borders"]) + " AS other_borders FROM m)") + ", "
+    + "lo AS (" + " UNION ALL ".join(f"SELECT '{c}' AS missing, '{a}' AS activity, {c} IS NULL AS f, {a}::DOUBLE AS x FROM ac WHERE {a} IS NOT NULL" for c in _A26_MISSING for a in ("other_borders", "load")) + f"""),
+    rk AS (SELECT *, rank() OVER (PARTITION BY missing, activity ORDER BY x) + (count(*) OVER (PARTITION BY missing, activity, x) - 1) / 2.0::DOUBLE AS rank, count(*) OVER (PARTITION BY missing, activity, x) AS t FROM lo),
+    us AS (SELECT missing, activity, count(*) FILTER (f) AS n_missing, count(*) FILTER (NOT f) AS n_present, coalesce(sum(rank) FILTER (f), 0) - n_missing * (n_missing + 1) / 2.0::DOUBLE AS u, sum(t::DOUBLE * t - 1) AS ties FROM rk GROUP BY 1, 2),
+    zs AS (SELECT *, u - n_missing * n_present / 2.0::DOUBLE AS gap, sqrt(n_missing::DOUBLE * n_present / 12 * ((n_missing + n_present + 1) - ties / nullif((n_missing + n_present)::DOUBLE * (n_missing + n_present - 1), 0))) AS s FROM us),
+    zz AS (SELECT *, CASE WHEN s > 0 THEN sign(gap) * greatest(abs(gap) - 0.5, 0) / s END AS zv FROM zs)
+    SELECT missing, activity, n_missing, n_present, {r('u')} AS u, {r('zv')} AS z, {r(_normal_p('zv'))} AS p_value FROM zz""",
+)
+def _(spark, d):
+    total = sum((F.coalesce(F.abs(F.col(c)), F.lit(0.0)) for c in _A26["other_borders"]), F.lit(0.0))
+    return Q.missing_dependence(pn.market(spark, d), {"other_borders": total, "load": F.col("load")}, _A26_MISSING)
+
+
 @query(
     "a27_histogram",
     with_ctes(pn.H) + "SELECT series_key, floor(price / 10)::BIGINT AS bin, count(*) AS n FROM h WHERE price IS NOT NULL GROUP BY 1, 2",
@@ -324,21 +352,15 @@ def _(spark, d):
     return h.groupBy(KEY, b.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Standard normal quantiles at 0.05, 0.25, 0.5, 0.75, 0.95.
-_NORMAL = {0.05: -1.6448536269514729, 0.25: -0.6744897501960817, 0.5: 0.0, 0.75: 0.6744897501960817, 0.95: 1.6448536269514722}
+_PROBS = [i / 20 for i in range(1, 20)]
 
 
 @query(
     "a27_normal_quantile_plot",
-    with_ctes(pn.H) + " UNION ALL ".join(f"SELECT series_key, {p}::DOUBLE AS p, {r(f'{z}::DOUBLE')} AS normal, {r(f'(quantile_cont(price, {p}) - avg(price)) / stddev_samp(price)')} AS sample FROM h GROUP BY 1" for p, z in _NORMAL.items()),
+    with_ctes(pn.H) + " UNION ALL ".join(f"SELECT series_key, {p}::DOUBLE AS p, {r(f'{NormalDist().inv_cdf(p)!r}::DOUBLE')} AS normal, {r(f'(quantile_cont(price, {p}) - avg(price)) / stddev_samp(price)')} AS sample FROM h GROUP BY 1" for p in _PROBS),
 )
 def _(spark, d):
-    names = {f"q{i}": p for i, p in enumerate(_NORMAL)}
-    q = grouped_quantiles(pn.hourly(spark, d), [KEY], "price", names, extra=(F.avg("price").alias("m"), F.stddev_samp("price").alias("s")))
-    rows = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.lit(z).alias("normal"), ((F.col(f"q{i}") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0))).alias("sample")) for i, (p, z) in enumerate(_NORMAL.items())
-    ])
-    return q.select(KEY, F.inline(rows))
+    return Q.normal_plot(pn.hourly(spark, d), "price", _PROBS)
 
 
 @query(
