@@ -46,11 +46,12 @@ CONTAINER = 0.5  # smoothness between neighbours in one container
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "select", "button", "object", "math", "canvas", "xmp"}
+_RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "select", "button", "canvas", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s",
     "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br",
+    "math", "mi", "mn", "mo", "mrow", "ms", "mtext", "msub", "msup", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "semantics",
 }
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "nav", "aside", "header", "footer", "body", "form", "blockquote"}
@@ -231,8 +232,29 @@ def smoothness(found: list[Block], elements: list[Element]) -> list[tuple[int, i
     return edges
 
 
+def _labels(room: list[float], left: list[dict[int, float]], tiny: float) -> list[int]:
+    """1 + edges from each node to the nearest one with room, over edges that can still take flow; more than the nodes if there is no way."""
+    far = len(room) + 1
+    label = [1 if r > tiny else far for r in room]
+    queue = deque(i for i, x in enumerate(label) if x == 1)
+    while queue:
+        j = queue.popleft()
+        for i in left[j]:
+            if label[i] == far and left[i][j] > tiny:
+                label[i] = label[j] + 1
+                queue.append(i)
+    return label
+
+
 def min_cut(odds: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
-    """Which nodes stay with the source: terminal capacities are the log-odds, flow is sent along shortest paths."""
+    """Which nodes stay with the source: terminal capacities are the log-odds, flow is pushed in bulk from node to node.
+
+    Capacities are the same in both directions, so the flow may run from the nodes with negative
+    odds to those with positive ones. The node furthest from any with room left goes first and
+    hands its whole surplus on, which gathers on the way. A node that has been moved away some times
+    (more in each round) waits for the next round, in which distances are taken anew and those
+    without any way drop out. Kept are the nodes that still have a way to room.
+    """
     n = len(odds)
     if not (odds > 0).any():
         return np.zeros(n, bool)
@@ -242,32 +264,48 @@ def min_cut(odds: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray
     for a, b, c in edges:
         left[a][b] = left[a].get(b, 0.0) + c
         left[b][a] = left[b].get(a, 0.0) + c
-    source, sink = np.maximum(odds, 0).tolist(), np.maximum(-odds, 0).tolist()
-    tiny = 1e-12
+    surplus, room = np.maximum(-odds, 0).tolist(), np.maximum(odds, 0).tolist()
+    tiny, turns = 1e-12, 4
     while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if source[i] > tiny}
-        queue, end = deque(came), -1
-        while queue:
-            i = queue.popleft()
-            if sink[i] > tiny:
-                end = i
-                break
-            for j, c in left[i].items():
-                if c > tiny and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if end < 0:
-            return np.array([i in came for i in range(n)])
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        path.reverse()
-        flow = min(source[path[0]], sink[end], *(left[a][b] for a, b in zip(path, path[1:], strict=False)))
-        source[path[0]] -= flow
-        sink[end] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            left[a][b] -= flow
-            left[b][a] += flow
+        label, moved = _labels(room, left, tiny), [0] * n
+        waiting: list[list[int]] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            if surplus[i] > tiny and label[i] <= n:
+                waiting[label[i]].append(i)
+        top, started = n, False
+        while top:
+            if not waiting[top]:
+                top -= 1
+                continue
+            i = waiting[top].pop()
+            if label[i] != top or surplus[i] <= tiny:
+                continue
+            started = True
+            if room[i] > tiny:
+                flow = min(surplus[i], room[i])
+                surplus[i] -= flow
+                room[i] -= flow
+            own = left[i]
+            for j, c in own.items():
+                if surplus[i] <= tiny:
+                    break
+                if c > tiny and label[j] == top - 1:
+                    flow = min(surplus[i], c)
+                    if surplus[j] <= tiny:
+                        waiting[top - 1].append(j)
+                    surplus[i] -= flow
+                    surplus[j] += flow
+                    own[j] = c - flow
+                    left[j][i] += flow
+            if surplus[i] > tiny:
+                label[i] = min((label[j] + 1 for j, c in own.items() if c > tiny), default=n + 1)
+                moved[i] += 1
+                if label[i] <= n and moved[i] < turns:
+                    waiting[label[i]].append(i)
+                    top = label[i]
+        turns *= 2
+        if not started:
+            return np.array(_labels(room, left, tiny)) <= n
 
 
 def main_text(page: str | None, weights: np.ndarray) -> str:

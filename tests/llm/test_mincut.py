@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -26,6 +27,37 @@ def test_cut_is_minimal(odds, edges):
     assert abs(cost(got, odds, edges) - best) < 1e-9
 
 
+def _chain_cost(odds, weight):
+    """Least cost of a chain of nodes, from left to right."""
+    kept = dropped = 0.0
+    for o in odds.tolist():
+        kept, dropped = min(kept, dropped + weight) + max(-o, 0), min(dropped, kept + weight) + max(o, 0)
+    return min(kept, dropped)
+
+
+def test_pages_of_many_blocks():
+    n = 50_000
+    rng = np.random.default_rng(1)
+    chain = [(i - 1, i, 1.0) for i in range(1, n)]
+    wide = chain + [(i - 5, i, 0.5) for i in range(5, n, 3)]
+    alternating = np.where(np.arange(n) % 2 == 0, 3.0, -3.5)
+    runs = np.where(np.arange(n) // 5_000 % 2 == 0, 0.001, -0.0007)
+    for odds in (alternating, runs, rng.normal(0, 3, n), np.r_[np.full(n - 100, 11.0), np.full(100, -11.0)]):
+        began = time.process_time()
+        assert abs(cost(M.min_cut(odds, chain), odds, chain) - _chain_cost(odds, 1.0)) < 1e-6
+        M.min_cut(odds, wide)
+        assert time.process_time() - began < 60
+    body = "".join(f"<tr><td>cell {i}, with words enough to read.</td><td><a href='/'>{i}</a></td></tr>" for i in range(n // 2))
+    began = time.process_time()
+    assert M.main_text(f"<article><table>{body}</table></article><footer>f</footer>", WEIGHTS).count("cell") == n // 2
+    assert time.process_time() - began < 60
+
+
+def test_formulas_and_drawings_of_an_article_are_text():
+    page = "<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><svg><style>a{}</style><text>axis</text></svg><object><p>Fallback.</p></object></article><footer>f</footer>"
+    assert M.main_text(page, WEIGHTS) == "Where x=2 holds. axis Fallback."
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1><nav><ul><li><a href="/">Home</a></li></ul></nav></header>
 <div id="cookie-notice">We use cookies.</div><!-- note --><article><header><h1>Title &amp; more</h1></header><p>First <b>bold</b>face<br>text.<p>Second&nbsp;one, with a <a href="x>y">link</a>.
 <aside>Related things</aside><div class="ad">Buy!</div><ul><li>item one<li>item two</ul><section class="comments"><p>Nice post, thanks for it.</p></section></article>
