@@ -20,7 +20,8 @@ Null text, language or source count as empty, a null length as zero. Null ids ar
 never labelled. Several labels of one document count as their majority (a tie as the
 positive class), null labels not at all. A class with so few labels that none is kept aside
 (or none is left to fit on) serves for both. Where a target has no label of a class at all,
-a warning says so, its score is null and it rejects nothing. Repeated rows are scored each. Only the
+a warning says so, its score is null and it rejects nothing. Repeated rows are scored each; of rows
+with one id the sample takes one (the smallest hash of what is read). Only the
 named columns are read.
 """
 
@@ -242,7 +243,10 @@ def _sample(docs: DataFrame, labels: DataFrame, ids: DataFrame, labelled_rows: i
     picked = chosen.unionByName(pool).select(F.col("id").alias("_picked"), *[F.col(t).alias(f"_label_{t}") for t in (*TARGETS, "stands_for")])
     marks = [f"_label_{t}" for t in (*TARGETS, "stands_for")]
     own = docs.join(F.broadcast(picked), F.col(f"`{columns.get('id_col', 'doc_id')}`") == F.col("_picked"))  # bounded by the two limits
-    rows = features(_seen(own, marks, **columns), marks)
+    seen = _seen(own, marks, **columns)
+    read = [c for c in seen.columns if c not in (*marks, "_id")]
+    one = seen.groupBy("_id", *marks).agg(F.min(F.struct(F.xxhash64(*read), *read)).alias("_one")).select(*marks, "_id", *[F.col(f"_one.{c}") for c in read])  # one row an id
+    rows = features(one, marks)
     return rows.select("id", "words", "shape", "meta", F.pmod(F.xxhash64("id", F.lit("aside")), F.lit(4)).eqNullSafe(0).alias("aside"), *[F.col(f"_label_{t}").alias(t) for t in (*TARGETS, "stands_for")])
 
 

@@ -53,6 +53,17 @@ def test_bounds_are_kept(tables):
     assert sample.where("quality IS NOT NULL").count() == 50 and sample.where("quality IS NULL").count() == 70
 
 
+def test_repeated_ids_stay_within_the_bounds(spark):
+    """20,000 rows of one id, with two texts, are one row of the sample, whatever order they come in."""
+    docs = spark.range(20_300).selectExpr("if(id < 20000, 7, id) AS doc_id", "if(id < 20000, concat('copy ', id % 2), concat('text ', id)) AS text", "'en' AS lang", "'a' AS source", "10L AS n_chars")
+    own = spark.range(100).selectExpr("if(id = 0, 7, id + 20000) AS id", "id % 2 + 0.0D AS quality", "0.0D AS toxic")
+    ids = docs.select(F.col("doc_id").alias("id"))
+    got = C._sample(docs, own, ids, 200, 5_000, {}).collect()
+    assert len(got) == len({r.id for r in got}) == 301 and sum(r.quality is not None for r in got) == 100
+    again = C._sample(docs.orderBy(F.desc("text")), own, ids, 200, 5_000, {}).where("id = 7").collect()
+    assert [r.words for r in again] == [r.words for r in got if r.id == 7]
+
+
 def test_rare_classes_are_drawn_whole(spark):
     own = spark.createDataFrame([(i, 1.0, float(i % 100 == 0)) for i in range(2000)] + [(2000, 0.0, 1.0)], "id long, quality double, toxic double")
     drawn = C._per_class(own, 60).collect()
