@@ -224,3 +224,19 @@ def _(spark, d):
     return build_features(pn.market_with_fuels(spark, d), ["spike", "calendar", "regime"]).select(
         KEY, TS, "residual_load", "is_renewable_scarcity", "dow_sin", "crisis_2022_flag"
     )
+
+
+@query(
+    "c20_c21_unscaled_sorted_quantiles",
+    with_ctes(pn.M) + f"""SELECT series_key, ts, {r('s[1]')} AS q10, {r('s[2]')} AS q50, {r('s[3]')} AS q90 FROM (SELECT series_key, ts, list_sort([price, temp_a, temp_b]) AS s FROM m
+    WHERE price IS NOT NULL AND temp_a IS NOT NULL AND temp_b IS NOT NULL)""",
+)
+def _(spark, d):
+    """Crossing quantiles in units of the series' spread, put in order and taken back to its own units."""
+    from panelcast.operators.quality import fit_scaler
+
+    m = pn.market(spark, d)
+    given = {"q10": "price", "q50": "temp_a", "q90": "temp_b"}
+    j = m.join(fit_scaler(m, {"price": F.col("price")}, [KEY]).drop("metric"), KEY).dropna(subset=list(given.values()))
+    scaled = j.withColumns({q: fu.standardise(F.col(c), F.col("mean"), F.col("scale")) for q, c in given.items()}).withColumns(fu.repair_crossing())
+    return scaled.select(KEY, TS, *[fu.unstandardise(F.col(q), F.col("mean"), F.col("scale")).alias(q) for q in given])
