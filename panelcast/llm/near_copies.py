@@ -35,13 +35,14 @@ from pyspark.sql import functions as F
 from panelcast.llm import simhash_ball
 from panelcast.llm.common import kind, narrow, unused
 from panelcast.llm.simhash_ball import SEED, components
-from panelcast.session import materialize
+from panelcast.session import materialize, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
 CELLS = 1 << 20  # of the table of counts
 TURNS = 3  # times that the members of a key are held against one of them
 STRETCH = 1 << 21  # shingles among which recurring ones are counted
+ROWS = 256  # texts or pairs whose shingles are held at once in a task
 PARITIES = 512  # bits, one a class of shingles
 _NOTHING = -1  # the only key of a text without words
 
@@ -83,9 +84,13 @@ def _recurring(batches):
     held, n = [], 0
 
     def counted():
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        values = np.concatenate(held)
+        held.clear()
+        values.sort()
+        bounds = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+        counts = np.diff(bounds)
         again = counts > 1
-        sums = np.bincount((values[again] >> np.uint64(44)).astype(np.int64), counts[again], CELLS)
+        sums = np.bincount((values[bounds[:-1][again]] >> np.uint64(44)).astype(np.int64), counts[again], CELLS)
         cells = np.flatnonzero(sums)
         return pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int32()), "n": pa.array(sums[cells].astype(np.int64))})
 
@@ -95,11 +100,17 @@ def _recurring(batches):
             n += len(held[-1])
             if n >= STRETCH:
                 yield counted()
-                held, n = [], 0
+                n = 0
     if n:
         yield counted()
 
 
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def levels_of(texts: DataFrame) -> np.ndarray:
     """A level for each cell, twice the binary logarithm of its count: at most ``CELLS`` rows reach the driver."""
     table = texts.select("text").mapInArrow(_recurring, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -111,7 +122,7 @@ def levels_of(texts: DataFrame) -> np.ndarray:
 def _sketch(levels):
     def run(batches):
         table = levels.value
-        for b in batches:
+        for b in _slices(batches):
             texts = [t.as_py() for t in b.column("text")]
             found = list(map(shingles, texts))
             yield pa.RecordBatch.from_pydict({
@@ -123,7 +134,7 @@ def _sketch(levels):
 
 
 def _sets(batches):
-    for b in batches:
+    for b in _slices(batches):
         yield pa.RecordBatch.from_pydict({"node": b.column("node"), "found": pa.array([shingles(t.as_py()).tobytes() for t in b.column("text")], pa.binary())})
 
 
@@ -133,7 +144,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
 
 
 def _verify(batches):
-    for b in batches:
+    for b in _slices(batches):
         sets = ([np.frombuffer(x.as_py(), np.uint64) for x in b.column(c)] for c in ("set_a", "set_b"))
         yield b.select(["a", "b"]).filter(pa.array([alike(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
 
@@ -220,6 +231,7 @@ def linked(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns: of each component the row of the smallest id stays (null ids last, then by the hash of the text; of repeated rows one)."""
+    small_batches(docs.sparkSession)
     own = F.col("id")
     keyed = narrow(docs, id=id_col, text=text_col).select(
         own.isNull().alias("no_id"), F.col("id"), F.coalesce(own.cast("string"), F.lit("")).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text"

@@ -99,3 +99,33 @@ def test_bound_of_the_parities():
         a, b = (np.array(sorted(rng.sample(pool, rng.randint(1, 300))), np.uint64) for _ in range(2))
         bits = [np.frombuffer(N.parities(x), np.uint64) for x in (a, b)]
         assert len(np.intersect1d(a, b)) <= N.most_shared(len(a), len(b), *bits)
+
+
+def test_few_sets_are_held_at_once(spark):
+    import pyarrow as pa
+
+    from panelcast.llm import near_copies as N
+
+    texts = [f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(1000)]
+    whole = pa.RecordBatch.from_pydict({"node": pa.array(range(1000)), "text": pa.array(texts)})
+    sets = list(N._sets([whole]))
+    assert max(b.num_rows for b in sets) <= 256 and sum(b.num_rows for b in sets) == 1000
+    found = pa.array([x for b in sets for x in b.column("found").to_pylist()])
+    pairs = pa.RecordBatch.from_pydict({"a": whole.column("node"), "b": whole.column("node"), "set_a": found, "set_b": found})
+    alike = list(N._verify([pairs]))
+    assert max(b.num_rows for b in alike) <= 256 and sum(b.num_rows for b in alike) == 1000
+    kept(spark, [(1, "only one")])
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+
+
+def test_recurring_shingles_are_counted_in_stretches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from panelcast.llm import near_copies as N
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a b c d e f"] * 3 + ["own words of one text", None])})
+    for stretch, want in ((N.STRETCH, 6), (4, 4)):  # two shingles, three times; of a stretch of two texts both, the third alone
+        monkeypatch.setattr(N, "STRETCH", stretch)
+        got = list(N._recurring([batch]))
+        assert sum(np.asarray(b.column("n")).sum() for b in got) == want
