@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import kind, narrow, whole
-from panelcast.session import materialize
+from panelcast.session import materialize, small_batches
 
 END = b""  # words are never empty
 HOT_TOKENS = 131_072
@@ -41,6 +41,7 @@ FILTER_BYTES = 128 << 20
 SEGMENT_TOKENS = 1 << 21
 ROWS = 256  # texts handled at once in a task
 FLUSH = 1 << 22  # pair occurrences held before they are summed and sent
+PART = 1 << 15  # keys whose bits are worked out at once
 BITS, HASHES, BLOCK = 10, 5, 512  # bits an entry, bits set for each, bits of a block
 _START, _STOP = np.uint64(0x5D1A4B7C3E2F6981), np.uint64(0x1B5E0C9D7A3F2648)
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # constants of splitmix64
@@ -89,13 +90,15 @@ def _bits(keys: np.ndarray, level: int | np.ndarray, blocks: np.ndarray) -> tupl
 
 
 def _built(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    level = levels(counts)
-    blocks = max(1, -(-int(level.sum()) * BITS // BLOCK))
+    level = levels(counts).astype(np.uint8)
+    blocks = max(1, -(-int(level.sum(dtype=np.int64)) * BITS // BLOCK))
     bits = np.zeros(blocks * BLOCK // 8, np.uint8)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        block, inside = _bits(keys[level >= j], j, np.array(blocks))
-        for b in inside:
-            np.bitwise_or.at(bits, block * (BLOCK // 8) + (b >> 3), (1 << (b & 7)).astype(np.uint8))
+    for at in range(0, len(keys), PART):
+        part, own = keys[at : at + PART], level[at : at + PART]
+        for j in range(1, int(own.max(initial=0)) + 1):
+            block, inside = _bits(part[own >= j], j, np.array(blocks))
+            for b in inside:
+                np.bitwise_or.at(bits, block * (BLOCK // 8) + (b >> 3), (1 << (b & 7)).astype(np.uint8))
     return bits.tobytes()
 
 
@@ -111,8 +114,8 @@ class Filter:
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key by probing upwards; zero for keys of other segments."""
         out = np.zeros(len(keys), np.uint8)
-        for at in range(0, len(keys), 1 << 15):
-            part = keys[at : at + (1 << 15)]
+        for at in range(0, len(keys), PART):
+            part = keys[at : at + PART]
             own = _segment(part, self.n_segments).astype(np.int64) - self.first
             alive = np.flatnonzero((own >= 0) & (own < self.n))
             level = 0
@@ -144,6 +147,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
     """``(token binary, n long)``, the end token included."""
 
     def run(batches):
+        _let_go()
         held: Counter[bytes] = Counter()
         for b in batches:
             for _, words, sizes in _texts(b):
@@ -182,16 +186,17 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _by_segment(keys: np.ndarray, counts: np.ndarray, n_segments: int, pairs: bool):
-    """Sorted keys as one row a segment, keys and counts packed."""
-    seg = _segment(keys, n_segments)
-    bounds = np.searchsorted(seg, np.arange(n_segments + 1))
-    full = np.flatnonzero(np.diff(bounds))
-    yield pa.RecordBatch.from_pydict({
-        "seg": pa.array(full, pa.int32()), "pairs": pa.array([pairs] * len(full)),
-        "keys": pa.array([keys[bounds[i] : bounds[i + 1]].tobytes() for i in full], pa.binary()),
-        "counts": pa.array([counts[bounds[i] : bounds[i + 1]].astype("<i8").tobytes() for i in full], pa.binary()),
-    })
+def _by_segment(keys: np.ndarray, counts: np.ndarray | None, n_segments: int, pairs: bool):
+    """Sorted keys, summed and packed segment after segment; each is a row and a batch of its own."""
+    lowest = np.array([-(-(s << 32) // n_segments) << 32 for s in range(n_segments)], np.uint64)  # key of each segment
+    bounds = np.append(np.searchsorted(keys, lowest), len(keys))
+    for i in np.flatnonzero(np.diff(bounds)):
+        own = slice(bounds[i], bounds[i + 1])
+        k, n = _summed(keys[own], None if counts is None else counts[own])
+        yield pa.RecordBatch.from_pydict({
+            "seg": pa.array([i], pa.int32()), "pairs": pa.array([pairs]),
+            "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([n.astype("<i8").tobytes()], pa.binary()),
+        })
 
 
 PACKED = "seg int, pairs boolean, keys binary, counts binary"
@@ -199,17 +204,22 @@ PACKED = "seg int, pairs boolean, keys binary, counts binary"
 
 def _pair_rows(texts: DataFrame, n_segments: int) -> DataFrame:
     def run(batches):
-        held, n = [], 0
+        _let_go()
+        held, n = np.empty(FLUSH, np.uint64), 0  # sorted in place
         for b in batches:
             for _, words, sizes in _texts(b):
                 _, _, h, before = _hashes(words, sizes)
-                held.append(_pair_keys(before, h))
-                n += len(h)
-                if n >= FLUSH:
-                    yield from _by_segment(*_summed(np.concatenate(held), None), n_segments, True)
-                    held, n = [], 0
-        if held:
-            yield from _by_segment(*_summed(np.concatenate(held), None), n_segments, True)
+                keys = _pair_keys(before, h)
+                while len(keys):
+                    fits = keys[: FLUSH - n]
+                    held[n : n + len(fits)] = fits
+                    n, keys = n + len(fits), keys[len(fits) :]
+                    if n == FLUSH:
+                        held.sort()
+                        yield from _by_segment(held, None, n_segments, True)
+                        n = 0
+        held[:n].sort()
+        yield from _by_segment(held[:n], None, n_segments, True)
 
     return texts.select("text").mapInArrow(run, PACKED)
 
@@ -225,11 +235,13 @@ def _token_rows(counts: DataFrame, n_segments: int) -> DataFrame:
 
 def _build(group: pa.Table) -> pa.Table:
     """One segment: its filter, and what its pairs say about recurrence."""
+    _let_go()
     pairs = np.asarray(whole(group.column("pairs")))
-    unpack = lambda name, kind_, mask: np.concatenate([np.frombuffer(x, kind_) for x, m in zip(group.column(name).to_pylist(), mask, strict=True) if m] or [np.zeros(0, kind_)])
+    unpack = lambda name, kind_, mask: np.concatenate([np.frombuffer(x.as_buffer(), kind_) for x, m in zip(group.column(name), mask, strict=True) if m] or [np.zeros(0, kind_)])
     sums = [_summed(unpack("keys", "<u8", mask), unpack("counts", "<i8", mask)) for mask in (pairs, ~pairs)]
     n = sums[0][1]
     keys, counts = (np.concatenate([s[i] for s in sums]) for i in (0, 1))
+    del sums
     return pa.table({
         "seg": pa.array([group.column("seg")[0].as_py()], pa.int32()), "filter": pa.array([_built(keys, counts)], pa.binary()),
         "occurrences": pa.array([int(n.sum())], pa.int64()), "recurring": pa.array([int(n[n > 1].sum())], pa.int64()),
@@ -273,6 +285,7 @@ def score(
 ) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = narrow(docs, id=id_col, text=text_col).withColumn("held_out", held_out_ids("id"))
     training = base.where("NOT held_out")
     counts = materialize(token_counts(training))
@@ -308,9 +321,15 @@ def score(
 _HELD: list = [None, None]
 
 
+def _let_go() -> None:
+    """The filter of an earlier scoring does not stay in a worker that builds another one."""
+    _HELD[:] = [None, None]
+
+
 def _filter_of(broadcast) -> Filter:
     """One filter is kept in a worker process, next to the broadcast value that it reads."""
     if _HELD[0] is not broadcast.value:
+        _let_go()
         _HELD[:] = [broadcast.value, Filter(*broadcast.value)]
     return _HELD[1]
 

@@ -67,3 +67,32 @@ def test_empty(spark):
     held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = B.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_segments_are_packed_one_after_another():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 2**64, 4000, np.uint64).repeat(3))
+    got = list(B._by_segment(keys, None, 7, True))
+    assert [b.num_rows for b in got] == [1] * 7  # one batch of all segments is held whole on both sides
+    for b in got:
+        k, n = (np.frombuffer(b.column(c)[0].as_py(), t) for c, t in (("keys", "<u8"), ("counts", "<i8")))
+        want = keys[B._segment(keys, 7) == b.column("seg")[0].as_py()]
+        assert k.tolist() == np.unique(want).tolist() and n.sum() == len(want)
+
+
+def test_building_a_segment_takes_little_beside_its_keys():
+    import tracemalloc
+
+    keys = np.random.default_rng(3).integers(0, 2**64, 1 << 19, np.uint64)
+    counts = np.ones(len(keys), np.int64)
+    tracemalloc.start()
+    B._built(keys, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * keys.nbytes
+
+
+def test_an_earlier_filter_does_not_stay_in_a_worker():
+    B._HELD[:] = ["value", "filter"]
+    B._let_go()
+    assert B._HELD == [None, None]
