@@ -12,6 +12,9 @@ table, as most words come again. A new stretch also falls apart between marks (d
 punctuation, line breaks) that no piece joins to other characters and those. Other
 vocabularies run one agenda over the whole text.
 
+New short stretches of a batch are encoded together: each is a row of symbols, and in each
+round every row merges the pair that comes first on its own agenda.
+
 Each Arrow batch is checked against the sentencepiece library on its whole texts; ids that
 differ are an error that names the rows. Vocabularies of another type fail that check.
 
@@ -39,6 +42,7 @@ KEPT_LENGTH = 64
 SHORT = 48  # characters up to which the agenda is a list instead of a heap
 _NEVER = float("inf")
 ROWS = 256  # rows encoded and checked at once
+TOGETHER = 4096  # new stretches encoded at once
 _LOADED: dict[str, "PieceCodec"] = {}
 
 
@@ -57,12 +61,22 @@ class _Kept(dict):
             else:
                 ids = tuple(self._make(stretch))
         if len(stretch) <= KEPT_LENGTH:
-            if len(self) >= self._most:
-                self._older = dict(self)
-                self.clear()
-            self[stretch] = ids
+            self.put(stretch, ids)
         return ids
 
+    def put(self, stretch: str, ids: tuple[int, ...]) -> None:
+        if len(self) >= self._most:
+            self._older = dict(self)
+            self.clear()
+        self[stretch] = ids
+
+    def lacking(self, stretches: set[str]) -> set[str]:
+        """Those, or their parts, that are in neither table."""
+        older, parts = self._older, self._parts
+        new = {s for s in stretches if s not in older}
+        whole = {s for s in new if not parts or s.lstrip(SPACE).isalpha()}  # letters are no marks
+        return whole | {p for s in new - whole for p in parts(s) if p not in self and p not in older}
+
 
 class PieceCodec:
     """Agenda encoder over one model file; the library normalises, checks and decodes."""
@@ -83,6 +97,7 @@ class PieceCodec:
         marks = re.escape("".join(self._marks()))
         runs = re.compile(f"{SPACE}*[{marks}]+|[^{marks}]+").findall if marks else None
         self._kept = _Kept(self.agenda, KEPT, runs)
+        self._table()
         self.names = list(map(str, range(lib.get_piece_size())))
 
     def _marks(self) -> list[str]:
@@ -95,6 +110,78 @@ class PieceCodec:
                 return sorted(marks)
             marks -= out
 
+    def _table(self) -> None:
+        """Numbers of symbols; pairs of symbols and what they make, by number."""
+        letters = sorted(set(chain.from_iterable(self._cost)))
+        number = {symbol: i for i, symbol in enumerate(dict.fromkeys(chain(letters, self._cost)))}
+        n = len(number)
+        made = sorted((number[a] * n + number[b], number[piece]) for piece in self._cost for i in range(1, len(piece)) if (a := piece[:i]) in number and (b := piece[i:]) in number)
+        self._pairs, self._made = np.array([*made, (np.iinfo(np.int64).max, -1)], np.int64).T.copy()
+        self._costs = np.array([self._cost.get(symbol, _NEVER) for symbol in number] + [_NEVER])  # the last one: no pair
+        self._numbers = np.array([self._ids.get(symbol, -1) for symbol in number] + [-1], np.int64)
+        self._letters = np.full(0x110000, -1, np.int32)
+        self._letters[list(map(ord, letters))] = np.arange(len(letters))
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair makes, or -1."""
+        keys = np.where((left < 0) | (right < 0), -1, left * (len(self._numbers) - 1) + right)
+        at = np.searchsorted(self._pairs, keys)
+        return np.where(self._pairs[at] == keys, self._made[at], -1)
+
+    def together(self, stretches: list[str]) -> list[tuple[int, ...]]:
+        """Ids of stretches by one agenda a row: the first smallest entry of a row is its next pair."""
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        symbols = np.full((len(stretches), int(sizes.max()) + 1), -1, np.int64)  # a column more than symbols
+        symbols[np.arange(symbols.shape[1]) < sizes[:, None]] = self._letters[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)]
+        made = np.full_like(symbols, -1)
+        made[:, :-1] = self._pair(symbols[:, :-1], symbols[:, 1:])
+        cost, row = self._costs[made], np.arange(len(stretches))
+        while True:
+            place = cost.argmin(1)
+            some = np.flatnonzero(cost[np.arange(len(row)), place] != _NEVER)
+            if not len(some):
+                break
+            row, place, cost = row[some], place[some], cost[some]
+            own, entries, line = symbols[row], made[row], np.arange(len(row))
+            new = entries[line, place]
+            behind = np.arange(own.shape[1] - 1) > place[:, None]
+            for x, nothing in ((own, -1), (entries, -1), (cost, _NEVER)):
+                x[:, :-1] = np.where(behind, x[:, 1:], x[:, :-1])
+                x[:, -1] = nothing
+            # the entry merged goes: its place is that of the new symbol and the one behind
+            own[line, place] = new
+            entries[line, place] = self._pair(new, own[line, place + 1])
+            after = np.flatnonzero(place)
+            entries[after, place[after] - 1] = self._pair(own[after, place[after] - 1], new[after])
+            for at in (place, np.maximum(place - 1, 0)):
+                cost[line, at] = self._costs[entries[line, at]]
+            symbols[row], made[row] = own, entries
+            sizes[row] -= 1
+        ids = self._numbers[symbols]
+        known = ((ids >= 0).sum(1) == sizes).tolist()  # others hold symbols outside the vocabulary
+        return [tuple(x[:n]) if k else tuple(self.agenda(s)) for s, x, n, k in zip(stretches, ids.tolist(), sizes.tolist(), known, strict=True)]
+
+    def _learn(self, stretches: set[str]) -> None:
+        new = sorted((s for s in self._kept.lacking(stretches) if len(s) <= SHORT), key=len)  # rows of similar length
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            for stretch, ids in zip(part, self.together(part), strict=True):
+                self._kept.put(stretch, ids)
+
+    def _all(self, texts: list[str]) -> list[list[int]]:
+        """``encode`` of each text with the end id."""
+        if not self._apart:
+            return list(map(self.encode, texts))
+        kept = self._kept
+        cut = [self._stretches(self.library.normalize(t)) for t in texts]
+        found = [list(map(kept.get, c)) for c in cut]
+        open_ = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        self._learn({c[i] for c, places in zip(cut, open_, strict=True) for i in places})
+        for f, c, places in zip(found, cut, open_, strict=True):
+            for i in places:
+                f[i] = kept[c[i]]
+        return [[*chain.from_iterable(f), self.end] for f in found]
+
     def encode(self, text: str, end: bool = True) -> list[int]:
         normal = self.library.normalize(text)
         if self._apart:
@@ -161,7 +248,7 @@ class PieceCodec:
 
     def checked(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts with the end id, equal to the library's."""
-        got = [self.encode(t) for t in texts]
+        got = self._all(texts)
         want = self.library.encode(texts, add_eos=True, num_threads=1)
         if got != want:
             raise ValueError(f"the agenda differs from the library in rows {[i for i, (a, b) in enumerate(zip(got, want, strict=True)) if a != b][:10]} of a batch")

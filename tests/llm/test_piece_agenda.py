@@ -54,3 +54,20 @@ def test_a_difference_is_an_error():
     c._kept["▁wrong"] = (5,)
     with pytest.raises(ValueError, match="rows \\[1\\]"):
         c.checked(["right", "wrong"])
+
+
+def test_new_stretches_are_encoded_together(monkeypatch):
+    c, made = A.PieceCodec(PATH), []
+    one = c.agenda
+    monkeypatch.setattr(c, "agenda", lambda s: made.append(s) or one(s))
+    c._kept._make = c.agenda
+    texts = ["Erthtionor çenou onwheaat, einä.", "", "x" * 60, "ab\U0010fff0c 12.5% (tzener) ▁▁émentvique", "日本語の言葉 aaaaaaaa", "Erthtionor again"]
+    assert c.checked(texts) == [PLAIN.encode(t, add_eos=True) for t in texts]
+    assert all(len(s) > A.SHORT or "\U0010fff0" in s or not s.isascii() for s in made), made  # only long or unknown ones alone
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aeinrstouh▁é0.", min_size=1, max_size=A.SHORT), min_size=1, max_size=8))
+def test_together_equals_one_by_one(stretches):
+    c = A.codec(PATH)
+    assert c.together(stretches) == [tuple(c.agenda(s)) for s in stretches]
