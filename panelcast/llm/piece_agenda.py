@@ -12,8 +12,9 @@ table, as most words come again. A new stretch also falls apart between marks (d
 punctuation, line breaks) that no piece joins to other characters and those. Other
 vocabularies run one agenda over the whole text.
 
-New short stretches of a batch are encoded together: each is a row of symbols, and in each
-round every row merges the pair that comes first on its own agenda.
+The stretches of several texts are numbered together, so that each distinct one is looked up
+once. New short ones are encoded together: each is a row of symbols, and in each round every
+row merges the pair that comes first on its own agenda.
 
 Each Arrow batch is checked against the sentencepiece library on its whole texts; ids that
 differ are an error that names the rows. Vocabularies of another type fail that check.
@@ -32,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from panelcast.llm.common import kind, narrow
@@ -41,7 +43,8 @@ KEPT = 1 << 19  # stretches kept in a worker, twice at most, each of at most KEP
 KEPT_LENGTH = 64
 SHORT = 48  # characters up to which the agenda is a list instead of a heap
 _NEVER = float("inf")
-ROWS = 256  # rows encoded and checked at once
+_GOLD = np.uint64(0x9E3779B97F4A7C15)  # 2^64 by the golden ratio
+ROWS, BYTES = 1024, 4 << 20  # rows encoded and checked at once, and bytes of text unless one row has more
 TOGETHER = 4096  # new stretches encoded at once
 _LOADED: dict[str, "PieceCodec"] = {}
 
@@ -70,12 +73,43 @@ class _Kept(dict):
             self.clear()
         self[stretch] = ids
 
-    def lacking(self, stretches: set[str]) -> set[str]:
+    def put_all(self, stretches: list[str], ids: list[tuple[int, ...]]) -> None:
+        if len(self) + len(stretches) > self._most:
+            self._older = dict(self)
+            self.clear()
+        self.update(zip(stretches, ids, strict=True))
+
+    def lacking(self, stretches: list[str]) -> set[str]:
         """Those, or their parts, that are in neither table."""
         older, parts = self._older, self._parts
-        new = {s for s in stretches if s not in older}
+        new = [s for s in stretches if s not in older]
         whole = {s for s in new if not parts or s.lstrip(SPACE).isalpha()}  # letters are no marks
-        return whole | {p for s in new - whole for p in parts(s) if p not in self and p not in older}
+        return whole.union(p for s in new if s not in whole for p in parts(s) if p not in self and p not in older)
+
+
+def _numbered(texts: list[bytes], marks: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct stretches of normalised texts, the number of each stretch in order, and where each text begins among them.
+
+    Stretches begin with their space marks and fall apart between characters that are ``marks`` and others, of those below U+0800."""
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    a, b, c = SPACE.encode()
+    at = np.flatnonzero(data[:-2] == a)
+    at = at[(data[at + 1] == b) & (data[at + 2] == c)]
+    begins = np.zeros(len(data) + 1, bool)
+    mark = np.append(marks[:128], np.zeros(128, bool))[data]
+    two = np.flatnonzero((data >= 0xC0) & (data < 0xE0))
+    mark[two] = mark[two + 1] = marks[((data[two] & 31).astype(np.int64) << 6) | (data[two + 1] & 63)]
+    begins[1:-1] = mark[1:] != mark[:-1]
+    more = np.flatnonzero(data >= 0xE0)
+    begins[more] = begins[more + 3 + (data[more] >= 0xF0)] = False
+    begins[at] = True
+    begins[at + len(SPACE.encode())] = False
+    begins[first[:-1]] = True
+    starts = np.flatnonzero(begins[:-1])
+    stretches = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(joined)).dictionary_encode()
+    return stretches.dictionary.to_numpy(zero_copy_only=False).tolist(), stretches.indices.to_numpy().astype(np.int64), np.searchsorted(starts, first)
 
 
 class PieceCodec:
@@ -94,7 +128,10 @@ class PieceCodec:
         self._unknown, self.end = lib.unk_id(), lib.eos_id()
         self._apart = all(SPACE not in piece.lstrip(SPACE) for piece in self._cost)
         self._stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        marks = re.escape("".join(self._marks()))
+        marks = self._marks()
+        self._mark = np.zeros(0x800, bool)
+        self._mark[[ord(c) for c in marks if ord(c) < 0x800]] = True
+        marks = re.escape("".join(marks))
         runs = re.compile(f"{SPACE}*[{marks}]+|[^{marks}]+").findall if marks else None
         self._kept = _Kept(self.agenda, KEPT, runs)
         self._table()
@@ -115,72 +152,106 @@ class PieceCodec:
         letters = sorted(set(chain.from_iterable(self._cost)))
         number = {symbol: i for i, symbol in enumerate(dict.fromkeys(chain(letters, self._cost)))}
         n = len(number)
-        made = sorted((number[a] * n + number[b], number[piece]) for piece in self._cost for i in range(1, len(piece)) if (a := piece[:i]) in number and (b := piece[i:]) in number)
-        self._pairs, self._made = np.array([*made, (np.iinfo(np.int64).max, -1)], np.int64).T.copy()
-        self._costs = np.array([self._cost.get(symbol, _NEVER) for symbol in number] + [_NEVER])  # the last one: no pair
+        made = [(number[a] * n + number[b], number[piece]) for piece in self._cost for i in range(1, len(piece)) if (a := piece[:i]) in number and (b := piece[i:]) in number]
+        self._hashed(*np.array(made, np.int64).reshape(-1, 2).T)
+        costs = np.array([self._cost.get(symbol, _NEVER) for symbol in number] + [_NEVER])  # the last one: no pair
+        self._costs = np.unique(costs, return_inverse=True)[1].astype(np.int32)
         self._numbers = np.array([self._ids.get(symbol, -1) for symbol in number] + [-1], np.int64)
         self._letters = np.full(0x110000, -1, np.int32)
         self._letters[list(map(ord, letters))] = np.arange(len(letters))
 
+    def _hashed(self, pairs: np.ndarray, made: np.ndarray) -> None:
+        """Pairs by hash, each in the first free slot from its own on; free ones hold -1."""
+        bits = max(4, (8 * len(pairs)).bit_length())
+        self._shift = np.uint64(64 - bits)
+        self._pairs, self._made = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at = self._slot(pairs)
+        while len(pairs):
+            free = self._pairs[at] == -1
+            _, first = np.unique(at, return_index=True)  # one pair a slot
+            lands = np.zeros(len(at), bool)
+            lands[first] = True
+            lands &= free
+            self._pairs[at[lands]], self._made[at[lands]] = pairs[lands], made[lands]
+            pairs, made, at = pairs[~lands], made[~lands], (at[~lands] + 1) & (len(self._pairs) - 1)
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * _GOLD) >> self._shift).astype(np.int64)
+
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What each pair makes, or -1."""
-        keys = np.where((left < 0) | (right < 0), -1, left * (len(self._numbers) - 1) + right)
-        at = np.searchsorted(self._pairs, keys)
-        return np.where(self._pairs[at] == keys, self._made[at], -1)
+        pairs = left.astype(np.int64) * (len(self._numbers) - 1) + right
+        pairs[(left < 0) | (right < 0)] = -1
+        at = self._slot(pairs)
+        there = self._pairs[at]
+        open_ = np.flatnonzero((there != pairs) & (there != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self._pairs) - 1)
+            there = self._pairs[at[open_]]
+            open_ = open_[(there != pairs[open_]) & (there != -1)]
+        return self._made[at]
 
     def together(self, stretches: list[str]) -> list[tuple[int, ...]]:
         """Ids of stretches by one agenda a row: the first smallest entry of a row is its next pair."""
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
-        symbols = np.full((len(stretches), int(sizes.max()) + 1), -1, np.int64)  # a column more than symbols
-        symbols[np.arange(symbols.shape[1]) < sizes[:, None]] = self._letters[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)]
+        width = int(sizes.max(initial=0)) + 2  # a row's symbols stand between two columns without any
+        symbols = np.full((len(stretches), width), -1, np.int32)
+        column = np.arange(width)
+        symbols[(column > 0) & (column <= sizes[:, None])] = self._letters[np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)]
         made = np.full_like(symbols, -1)
-        made[:, :-1] = self._pair(symbols[:, :-1], symbols[:, 1:])
-        cost, row = self._costs[made], np.arange(len(stretches))
-        while True:
-            place = cost.argmin(1)
-            some = np.flatnonzero(cost[np.arange(len(row)), place] != _NEVER)
-            if not len(some):
-                break
-            row, place, cost = row[some], place[some], cost[some]
-            own, entries, line = symbols[row], made[row], np.arange(len(row))
-            new = entries[line, place]
-            behind = np.arange(own.shape[1] - 1) > place[:, None]
-            for x, nothing in ((own, -1), (entries, -1), (cost, _NEVER)):
-                x[:, :-1] = np.where(behind, x[:, 1:], x[:, :-1])
-                x[:, -1] = nothing
-            # the entry merged goes: its place is that of the new symbol and the one behind
-            own[line, place] = new
-            entries[line, place] = self._pair(new, own[line, place + 1])
-            after = np.flatnonzero(place)
-            entries[after, place[after] - 1] = self._pair(own[after, place[after] - 1], new[after])
-            for at in (place, np.maximum(place - 1, 0)):
-                cost[line, at] = self._costs[entries[line, at]]
-            symbols[row], made[row] = own, entries
+        made[:, :-1] = self._pair(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(stretches), -1)
+        cost = self._costs[made]
+        # places are counted through all rows; a symbol that was merged into its left neighbour is passed over
+        after = np.arange(1, symbols.size + 1)
+        before = after - 2
+        flat, entries, costs, never = symbols.ravel(), made.ravel(), cost.ravel(), self._costs[-1]
+        row = np.arange(len(stretches))
+        while len(row):
+            place = cost[row].argmin(1) + row * width
+            some = costs[place] != never
+            row, place = row[some], place[some]
             sizes[row] -= 1
+            new, right = entries[place], after[place]
+            flat[place], flat[right], costs[right] = new, -1, never
+            behind, ahead = after[right], before[place]
+            after[place], before[behind] = behind, place
+            for at, pair in ((place, self._pair(new, flat[behind])), (ahead, self._pair(flat[ahead], new))):
+                entries[at], costs[at] = pair, self._costs[pair]
         ids = self._numbers[symbols]
-        known = ((ids >= 0).sum(1) == sizes).tolist()  # others hold symbols outside the vocabulary
-        return [tuple(x[:n]) if k else tuple(self.agenda(s)) for s, x, n, k in zip(stretches, ids.tolist(), sizes.tolist(), known, strict=True)]
+        here = ids >= 0
+        numbers = here.sum(1)
+        ends = np.cumsum(numbers).tolist()
+        ids, known = ids[here].tolist(), (numbers == sizes).tolist()  # others hold symbols outside the vocabulary
+        return [tuple(ids[a:b]) if k else tuple(self.agenda(s)) for s, a, b, k in zip(stretches, [0, *ends], ends, known, strict=False)]
 
-    def _learn(self, stretches: set[str]) -> None:
+    def _learn(self, stretches: list[str]) -> None:
         new = sorted((s for s in self._kept.lacking(stretches) if len(s) <= SHORT), key=len)  # rows of similar length
         for at in range(0, len(new), TOGETHER):
             part = new[at : at + TOGETHER]
-            for stretch, ids in zip(part, self.together(part), strict=True):
-                self._kept.put(stretch, ids)
+            self._kept.put_all(part, self.together(part))
 
     def _all(self, texts: list[str]) -> list[list[int]]:
         """``encode`` of each text with the end id."""
         if not self._apart:
             return list(map(self.encode, texts))
         kept = self._kept
-        cut = [self._stretches(self.library.normalize(t)) for t in texts]
-        found = [list(map(kept.get, c)) for c in cut]
-        open_ = [[i for i, ids in enumerate(f) if ids is None] for f in found]
-        self._learn({c[i] for c, places in zip(cut, open_, strict=True) for i in places})
-        for f, c, places in zip(found, cut, open_, strict=True):
-            for i in places:
-                f[i] = kept[c[i]]
-        return [[*chain.from_iterable(f), self.end] for f in found]
+        distinct, place, bounds = _numbered([self.library.normalize(t).encode() for t in texts], self._mark)
+        found = list(map(kept.get, distinct))
+        open_ = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([distinct[i] for i in open_])
+        for i in open_:
+            found[i] = kept[distinct[i]]
+        # the end stands after the distinct stretches, and behind each text
+        found.append((self.end,))
+        place = np.insert(place, bounds[1:], len(distinct))
+        bounds += np.arange(len(bounds))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        own = sizes[place]
+        until = np.cumsum(own)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[place] - until + own, own) + np.arange(until[-1] if len(until) else 0)].tolist()
+        ends = until[bounds[1:] - 1].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         normal = self.library.normalize(text)
@@ -266,9 +337,17 @@ def codec(model_path: str) -> PieceCodec:
 
 
 def _parts(batches):
+    """Slices of few rows, and of few bytes of text or ids."""
     for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            yield b.slice(at, ROWS)
+        column = b.column(1)
+        sizes = pc.list_value_length(column) if pa.types.is_nested(column.type) else pc.binary_length(column)
+        long = np.cumsum(sizes.fill_null(0), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            most = int(np.searchsorted(long, BYTES + (long[at - 1] if at else 0), "right"))
+            n = min(ROWS, max(1, most - at))
+            yield b.slice(at, n)
+            at += n
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

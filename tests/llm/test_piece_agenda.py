@@ -1,6 +1,8 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -71,3 +73,55 @@ def test_new_stretches_are_encoded_together(monkeypatch):
 def test_together_equals_one_by_one(stretches):
     c = A.codec(PATH)
     assert c.together(stretches) == [tuple(c.agenda(s)) for s in stretches]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab é▁.,1\n日😀ñ·", max_size=30), max_size=6))
+def test_stretches_of_several_texts_are_numbered_together(texts):
+    c = A.codec(PATH)
+    normal = [c.library.normalize(t) for t in texts]
+    distinct, place, bounds = A._numbered([t.encode() for t in normal], c._mark)
+    assert len(set(distinct)) == len(distinct)  # each is looked up once
+    got = [[distinct[i] for i in place[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert list(map("".join, got)) == normal
+    for t, stretches in zip(normal, got, strict=True):
+        if "日" not in t and "😀" not in t:  # others of three bytes and more stay with their neighbours
+            assert stretches == [p for s in c._stretches(t) for p in c._kept._parts(s)]
+    assert c.checked(texts) == [PLAIN.encode(t, add_eos=True) for t in texts]
+
+
+def test_a_stretch_is_looked_up_once_a_batch():
+    c, asked = A.PieceCodec(PATH), []
+
+    class Asked(A._Kept):
+        def get(self, stretch):
+            asked.append(stretch)
+            return super().get(stretch)
+
+    c._kept = Asked(c.agenda, 100, c._kept._parts)
+    texts = ["one two, two", "two one two"] * 3
+    assert c.checked(texts) == [PLAIN.encode(t, add_eos=True) for t in texts]
+    assert asked and len(asked) == len(set(asked))
+
+
+def test_pairs_are_found_by_hash():
+    c = A.codec(PATH)
+    pieces = [p for p in list(c._cost)[:3000] if len(p) > 1]
+    assert c.together(pieces) == [tuple(c.agenda(p)) for p in pieces]
+    assert c.together(["▁"]) == [tuple(c.agenda("▁"))]
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 3000, (2000, 2))
+    known = {k: m for k, m in zip(c._pairs.tolist(), c._made.tolist(), strict=True) if k >= 0}
+    n = len(c._numbers) - 1
+    assert c._pair(*pairs.T).tolist() == [known.get(int(a) * n + int(b), -1) for a, b in pairs]
+
+
+def test_few_bytes_are_encoded_at_once(monkeypatch):
+    monkeypatch.setattr(A, "BYTES", 100)
+    texts = ["a" * 60, None, "b" * 60, "c" * 500, "", "d", "é" * 60]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(7)), "text": pa.array(texts, pa.string())})
+    assert [p.column("id").to_pylist() for p in A._parts([batch])] == [[0, 1], [2], [3], [4, 5], [6]]
+    monkeypatch.setattr(A, "ROWS", 2)
+    lists = pa.RecordBatch.from_pydict({"id": [0, 1, 2], "ids": pa.array([[1], None, []], pa.list_(pa.int32()))})
+    assert [p.num_rows for p in A._parts([lists])] == [2, 1]
+    assert list(A._parts([batch.slice(0, 0)])) == []
