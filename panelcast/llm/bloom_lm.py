@@ -23,7 +23,7 @@ zero and every token has probability one over one. Only id and text are read.
 
 from __future__ import annotations
 
-from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import kind, narrow, whole
+from panelcast.llm.common import kind, narrow, slices, whole
 from panelcast.session import materialize, small_batches
 
 END = b""  # words are never empty
@@ -39,13 +39,15 @@ HOT_TOKENS = 131_072
 LONGEST_HOT = 64
 FILTER_BYTES = 128 << 20
 SEGMENT_TOKENS = 1 << 21
-ROWS = 256  # texts handled at once in a task
+ROWS, BYTES = 512, 2 << 20  # texts handled at once in a task, and their bytes unless one text has more
 FLUSH = 1 << 22  # pair occurrences held before they are summed and sent
 PART = 1 << 15  # keys whose bits are worked out at once
 BITS, HASHES, BLOCK = 10, 5, 512  # bits an entry, bits set for each, bits of a block
 _START, _STOP = np.uint64(0x5D1A4B7C3E2F6981), np.uint64(0x1B5E0C9D7A3F2648)
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # constants of splitmix64
 
+_LOWER = np.frombuffer(bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)), np.uint8)  # A-Z and the six ASCII spaces only
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -54,8 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _token_hash(token: bytes) -> int:
-    return xxhash.xxh64_intdigest(token)
+_token_hash = xxhash.xxh64_intdigest
 
 
 def _single_keys(h: np.ndarray) -> np.ndarray:
@@ -136,11 +137,23 @@ def held_out_ids(ids):
 
 
 def _texts(b: pa.RecordBatch):
-    """Slices of few texts: ``(slice, all words, number of words of each text)``."""
-    for at in range(0, b.num_rows, ROWS):
-        part = b.slice(at, ROWS)
-        cut = [(t.as_py() or "").encode().lower().split() for t in part.column("text")]  # bytes: A-Z and the six ASCII spaces only
-        yield part, [w for words in cut for w in words], np.array([len(words) for words in cut], np.int64)
+    """Slices of few texts: ``(slice, distinct words, number of each word in order, number of words of each text)``."""
+    for part in slices(b, "text", ROWS, BYTES):
+        text = whole(part.column("text")).cast(pa.large_binary()).fill_null(b"")
+        first = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, 8 * text.offset)
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[first[0] : first[-1]]
+        first = first - first[0]
+        letters = _LOWER[data]
+        inside = letters != ord(" ")
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        heads = first[:-1][first[:-1] < first[1:]]
+        begins[heads] = inside[heads]
+        letters = letters[inside]
+        bounds = np.append(np.flatnonzero(begins[inside]), len(letters))
+        words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+        sizes = np.diff(np.searchsorted(np.flatnonzero(begins), first))
+        yield part, words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), sizes
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -148,33 +161,28 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         _let_go()
-        held: Counter[bytes] = Counter()
+        held: dict[bytes, int] = {}
         for b in batches:
-            for _, words, sizes in _texts(b):
-                held.update(words)
-                held[END] += len(sizes)
+            for _, words, at, sizes in _texts(b):
+                for word, n in zip(words, np.bincount(at, minlength=len(words)).tolist(), strict=True):
+                    held[word] = held.get(word, 0) + n
+                held[END] = held.get(END, 0) + len(sizes)
                 if len(held) >= 1 << 18:
                     yield pa.RecordBatch.from_pydict({"token": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
-                    held = Counter()
+                    held = {}
         yield pa.RecordBatch.from_pydict({"token": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
 
     return texts.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _hashes(words: list[bytes], sizes: np.ndarray) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
-    """(position of each distinct word, hashes of these, hash of each token with ends, hash of the token before)."""
-    known = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    own = np.fromiter(map(_token_hash, known), np.uint64, len(known))
-    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    is_end = np.zeros(len(words) + len(sizes), bool)
-    is_end[ends] = True
-    place = np.full(len(is_end), len(known))  # the end token stands after the distinct words
-    place[~is_end] = at
-    h = np.append(own, _STOP)[place]
-    before = np.concatenate([[_START], h[:-1]]).astype(np.uint64)
-    before[np.concatenate([[0], ends[:-1] + 1])] = _START
-    return known, place, h, before
+def _hashes(words: list[bytes], at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, the end and the start, number of each token with ends, number of the token before)."""
+    own = np.append(np.fromiter(map(_token_hash, words), np.uint64, len(words)), [_STOP, _START])
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    place = np.insert(at.astype(np.int32), np.cumsum(sizes), len(words))  # the end token stands after the distinct words
+    before = np.roll(place, 1)
+    before[starts] = len(words) + 1
+    return own, place, before
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -207,9 +215,9 @@ def _pair_rows(texts: DataFrame, n_segments: int) -> DataFrame:
         _let_go()
         held, n = np.empty(FLUSH, np.uint64), 0  # sorted in place
         for b in batches:
-            for _, words, sizes in _texts(b):
-                _, _, h, before = _hashes(words, sizes)
-                keys = _pair_keys(before, h)
+            for _, words, at, sizes in _texts(b):
+                own, place, before = _hashes(words, at, sizes)
+                keys = _pair_keys(own[before], own[place])
                 while len(keys):
                     fits = keys[: FLUSH - n]
                     held[n : n + len(fits)] = fits
@@ -334,27 +342,33 @@ def _filter_of(broadcast) -> Filter:
     return _HELD[1]
 
 
-def _levels_of(part, words, sizes, table: Filter):
-    """Levels of the distinct words and the end, and of all pairs, joined with those of earlier groups."""
-    known, place, h, before = _hashes(words, sizes)
-    own = np.append(np.fromiter(map(_token_hash, known), np.uint64, len(known)), _STOP)
-    single = table.level(_single_keys(own))[place]
-    pair = table.level(_pair_keys(before, h))
-    for name, value in (("single", single), ("pair", pair)):
+def _levels_of(part, words, at, sizes, table: Filter):
+    """Tokens, distinct pairs and levels of both, joined with those of earlier groups.
+
+    (Number of each token, number of each token's pair, first and second token of each distinct pair, level of each distinct
+    token with the end, level of each distinct pair.)"""
+    own, place, before = _hashes(words, at, sizes)
+    coded = pa.array(before.astype(np.int64) * len(own) + place).dictionary_encode()
+    pair = coded.indices.to_numpy()
+    first, second = np.divmod(coded.dictionary.to_numpy(), len(own))
+    found = table.level(_single_keys(own[:-1])), table.level(_pair_keys(own[first], own[second]))
+    for name, value, number in (("single", found[0], place), ("pair", found[1], pair)):
         old = part.column(name)
         if old.null_count < len(old):
-            np.maximum(value, np.frombuffer(b"".join(old.to_pylist()), np.uint8), out=value)
-    return known, place, single, pair
+            earlier = np.zeros_like(value)
+            earlier[number] = np.frombuffer(b"".join(old.to_pylist()), np.uint8)  # the same wherever a token or pair stands
+            np.maximum(value, earlier, out=value)
+    return place, pair, first, second, *found
 
 
 def _probed(state: DataFrame, part_of_filter) -> DataFrame:
     def run(batches):
         table = _filter_of(part_of_filter)
         for b in batches:
-            for part, words, sizes in _texts(b):
-                _, _, single, pair = _levels_of(part, words, sizes, table)
+            for part, words, at, sizes in _texts(b):
+                place, pair, _, _, singles, pairs = _levels_of(part, words, at, sizes, table)
                 bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
-                columns = {n: pa.array([x[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for n, x in (("single", single), ("pair", pair))}
+                columns = {n: pa.array([x[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for n, x in (("single", singles[place]), ("pair", pairs[pair]))}
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "text": part.column("text"), "held_out": part.column("held_out"), **columns})
 
     return state.mapInArrow(run, f"id {kind(state)}, text string, held_out boolean, single binary, pair binary")
@@ -364,26 +378,25 @@ def _scored(state: DataFrame, part_of_filter, hot, n: int, v: int, texts: int, w
     def run(batches):
         table, exact = _filter_of(part_of_filter), hot.value
         for b in batches:
-            for part, words, sizes in _texts(b):
-                known, place, single, pair = _levels_of(part, words, sizes, table)
+            for part, words, at, sizes in _texts(b):
+                place, pair, first, second, singles, pairs = _levels_of(part, words, at, sizes, table)
                 starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-                token = quantised(single)
-                before = np.concatenate([[0.0], token[:-1]])
-                before[starts] = texts
-                alone = np.minimum((token + 1) / (n + v + 1), 1.0)  # a quantised count may exceed its range's total
-                both = np.where(before > 0, weight * np.minimum(quantised(pair), before) / np.maximum(before, 1) + (1 - weight) * alone, alone)
-                count = np.array([*(exact.get(w, 0) for w in known), texts], np.int64)[place]
-                rest = np.flatnonzero((count == 0) & (place < len(known)))
+                token = quantised(singles)
+                before = np.append(token, float(texts))[first]  # the start comes as often as there are texts
+                alone = np.minimum((token + 1) / (n + v + 1), 1.0)[second]  # a quantised count may exceed its range's total
+                both = np.log10(np.where(before > 0, weight * np.minimum(quantised(pairs), before) / np.maximum(before, 1) + (1 - weight) * alone, alone))
+                exactly = np.append(np.fromiter(map(exact.get, words, repeat(0)), np.int64, len(words)), texts)
+                known, base = exactly > 0, np.log10(exactly + 1.0)
+                rest = np.flatnonzero(~np.append(known[:-1], True)[place])
                 owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-                cells, times = np.unique(owner[rest] * len(known) + place[rest], return_counts=True)
-                bounds = np.searchsorted(cells, np.arange(len(sizes) + 1) * max(1, len(known)))
-                names = list(known)
+                cells, times = np.unique(owner[rest] * len(words) + place[rest], return_counts=True)
+                bounds = np.searchsorted(cells, np.arange(len(sizes) + 1) * max(1, len(words)))
                 offsets = pa.array(bounds.astype(np.int32))
                 yield pa.RecordBatch.from_pydict({
                     "id": part.column("id"), "held_out": part.column("held_out"), "n_tokens": pa.array(sizes + 1),
-                    "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), "base": pa.array(np.add.reduceat(np.log10(count + 1.0), starts)),
-                    "score": pa.array(np.add.reduceat(np.log10(both), starts)),
-                    "rest": pa.ListArray.from_arrays(offsets, pa.array([names[c % len(known)] for c in cells.tolist()], pa.binary())),
+                    "n_known": pa.array(np.add.reduceat(known.astype(np.int64)[place], starts)), "base": pa.array(np.add.reduceat(base[place], starts)),
+                    "score": pa.array(np.add.reduceat(both[pair], starts)),
+                    "rest": pa.ListArray.from_arrays(offsets, pa.array([words[c] for c in (cells % max(1, len(words))).tolist()], pa.binary())),
                     "times": pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
                 })
 

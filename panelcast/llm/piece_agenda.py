@@ -33,10 +33,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from panelcast.llm.common import kind, narrow
+from panelcast.llm.common import kind, narrow, slices
 
 SPACE = "▁"
 KEPT = 1 << 19  # stretches kept in a worker, twice at most, each of at most KEPT_LENGTH characters: some 250 MB
@@ -337,17 +336,8 @@ def codec(model_path: str) -> PieceCodec:
 
 
 def _parts(batches):
-    """Slices of few rows, and of few bytes of text or ids."""
     for b in batches:
-        column = b.column(1)
-        sizes = pc.list_value_length(column) if pa.types.is_nested(column.type) else pc.binary_length(column)
-        long = np.cumsum(sizes.fill_null(0), dtype=np.int64)
-        at = 0
-        while at < b.num_rows:
-            most = int(np.searchsorted(long, BYTES + (long[at - 1] if at else 0), "right"))
-            n = min(ROWS, max(1, most - at))
-            yield b.slice(at, n)
-            at += n
+        yield from slices(b, b.schema.names[1], ROWS, BYTES)
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

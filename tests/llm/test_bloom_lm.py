@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelcast.llm import bloom_lm as B
@@ -96,3 +97,47 @@ def test_an_earlier_filter_does_not_stay_in_a_worker():
     B._HELD[:] = ["value", "filter"]
     B._let_go()
     assert B._HELD == [None, None]
+
+
+def test_words_of_several_texts_are_numbered_together():
+    rng = np.random.default_rng(5)
+    letters = list("abAB é\t\n\x0b\x0c\r\x1c\x85 日😀")
+    texts = [None, "", " ", *("".join(rng.choice(letters, n)) for n in rng.integers(0, 40, 1500)), "x" * 50]
+    whole = pa.RecordBatch.from_pydict({"text": pa.array(["before", *texts, "after"], pa.string())})
+    seen, slices = 0, list(B._texts(whole.slice(1, len(texts))))
+    for part, words, at, sizes in slices:
+        want = [(t or "").encode().lower().split() for t in texts[seen : seen + part.num_rows]]
+        assert [words[i] for i in at] == [w for ws in want for w in ws] and sizes.tolist() == list(map(len, want))
+        assert len(set(words)) == len(words)  # each is hashed once
+        seen += part.num_rows
+    assert seen == len(texts) and len(slices) > 1
+
+
+def test_few_bytes_are_handled_at_once(monkeypatch):
+    monkeypatch.setattr(B, "BYTES", 100)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["a" * 60, None, "b" * 60, "c " * 500, "", "d"], pa.string())})
+    assert [part.num_rows for part, *_ in B._texts(batch)] == [2, 1, 1, 2]
+
+
+def test_a_pair_is_probed_once_a_slice():
+    batch = pa.RecordBatch.from_pydict({"text": ["a b a b", "a b", None] * 50, "single": pa.nulls(150, pa.binary()), "pair": pa.nulls(150, pa.binary())})
+    asked = []
+
+    class Probed:
+        def level(self, keys):
+            asked.append(len(keys))
+            return np.arange(len(keys), dtype=np.uint8)
+
+    ((part, words, at, sizes),) = B._texts(batch)
+    place, pair, first, second, singles, pairs = B._levels_of(part, words, at, sizes, Probed())
+    assert asked == [3, 5]  # a, b and the end; start-a, a-b, b-a, b-end, start-end
+    names = [*words, "end", "start"]
+    got = [(names[first[p]], names[second[p]]) for p in pair[:9]]
+    assert got == [("start", b"a"), (b"a", b"b"), (b"b", b"a"), (b"a", b"b"), (b"b", "end"), ("start", b"a"), (b"a", b"b"), (b"b", "end"), ("start", "end")]
+    # a later group of the filter reads none of these: the levels of the earlier one stay
+    bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
+    kept = {n: pa.array([x[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for n, x in (("single", singles[place]), ("pair", pairs[pair]))}
+    later = pa.RecordBatch.from_pydict({"text": batch.column("text"), **kept})
+    Probed.level = lambda self, keys: np.zeros(len(keys), np.uint8)
+    *_, singles_later, pairs_later = B._levels_of(later, words, at, sizes, Probed())
+    assert singles_later.tolist() == singles.tolist() and pairs_later.tolist() == pairs.tolist()
