@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +49,11 @@ POOL_ROWS = 8_000
 VOCABULARY = 600
 ROUNDS = 2
 CONFIDENT = 0.97
+ROWS_A_TASK = 8_000  # of the sample while it is fitted: each step of a fit is a job, of which the driver keeps something for every stage and task
 LANGUAGES, SOURCES = 16, 64  # hashed places of languages and sources
 SHAPES = 10  # numbers that describe the shape of a text
 TARGETS = ("quality", "toxic")
+VIEWS = {"text": ["words", "shape"], "meta": ["meta"]}  # the columns each view is fitted on
 
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -143,9 +145,15 @@ class Target:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def _vectors(df: DataFrame, words: CountVectorizerModel) -> DataFrame:
-    df = words.transform(df.withColumn("words", F.transform("words", lambda w: F.decode(w, "UTF-8")))).withColumn("shape_vector", array_to_vector("shape")).withColumn("meta_vector", array_to_vector("meta"))
-    return VectorAssembler(inputCols=["word_vector", "shape_vector"], outputCol="text_vector").transform(df).drop("word_vector", "shape_vector")
+def _vectors(df: DataFrame, words: CountVectorizerModel, *views: str) -> DataFrame:
+    """``df`` with the vectors that these views read."""
+    if "meta" in views:
+        df = df.withColumn("meta_vector", array_to_vector("meta"))
+    if "text" in views:
+        df = words.transform(df.withColumn("texts", F.transform("words", lambda w: F.decode(w, "UTF-8")))).withColumn("shape_vector", array_to_vector("shape"))
+        df = VectorSizeHint(inputCol="shape_vector", size=SHAPES, handleInvalid="optimistic").transform(df)  # else a job looks at the first row
+        df = VectorAssembler(inputCols=["word_vector", "shape_vector"], outputCol="text_vector").transform(df).drop("texts", "word_vector", "shape_vector")
+    return df
 
 
 def _telling_words(labelled: DataFrame, target: str, n: int) -> list[str]:
@@ -167,7 +175,7 @@ def _telling_words(labelled: DataFrame, target: str, n: int) -> list[str]:
     return [bytes(r["word"]).decode() for r in per.select("word", ratio.alias("g")).where(F.col("g") > float(np.log(tried / 0.05))).orderBy(F.desc("g"), "word").limit(n).collect()]
 
 
-def _fit_target(sample: DataFrame, target: str, vocabulary: int, rounds: int, confident: float) -> Target | None:
+def _fit_target(sample: DataFrame, target: str, vocabulary: int, rounds: int, confident: float, parts: int) -> Target | None:
     labelled = sample.where(F.col(target).isNotNull())
     stands = F.col("stands_for")
     counts = {r[target]: r for r in labelled.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.sum(stands).alias("all"), F.sum(F.col("aside").cast("int")).alias("n_aside")).collect()}
@@ -178,30 +186,28 @@ def _fit_target(sample: DataFrame, target: str, vocabulary: int, rounds: int, co
     shift = math.log(counts[1.0]["all"] / counts[0.0]["all"]) - math.log(counts[1.0]["n"] / counts[0.0]["n"])  # from the sample's shares of the classes to the true ones
     own = [(c, r["n"] / r["all"]) for c, r in counts.items()]
     of_class = F.when(F.col(target) == own[0][0], own[0][1]).when(F.col(target) == own[1][0], own[1][1])
-    rows = sample.select("id", "words", "shape", "meta", F.col(target).alias("label"), F.coalesce(stands * of_class, F.lit(1.0)).alias("weight"),
+    rows = sample.select("words", "shape", "meta", F.col(target).alias("label"), F.coalesce(stands * of_class, F.lit(1.0)).alias("weight"),
                          (~F.col("aside") | F.col(target).isin(both)).alias("fits"), (F.col("aside") | F.col(target).isin(both)).alias("checks"))
-    rows = materialize(rows.coalesce(4))
-    columns = ("text", "meta")
-    given: dict[str, DataFrame | None] = {c: None for c in columns}  # pseudo-labels (id, label, weight) each view receives
+    rows = materialize(rows.coalesce(2 * parts))
+    columns = tuple(VIEWS)
+    given: dict[str, DataFrame | None] = {c: None for c in columns}  # rows of the pool with the pseudo-labels each view receives
     for number in range(rounds + 1):
         fitting = {}
         for c in columns:
-            train = rows.where("label IS NOT NULL AND fits").select("id", "words", "shape", "meta", "label", "weight")
-            if given[c] is not None:
-                train = train.unionByName(rows.where("label IS NULL").drop("label").join(F.broadcast(given[c]), "id").select(train.columns))  # bounded by the pool
-            fitting[c] = train
+            train = rows.where("label IS NOT NULL AND fits").select(*VIEWS[c], "label", "weight")
+            fitting[c] = train if given[c] is None else train.unionByName(given[c])
         found = _telling_words(fitting["text"].withColumnRenamed("label", target), target, vocabulary)
         found = found or ["-"]  # no word tells: one that no text can hold
-        words = CountVectorizerModel.from_vocabulary(found, inputCol="words", outputCol="word_vector")
+        words = CountVectorizerModel.from_vocabulary(found, inputCol="texts", outputCol="word_vector")
         words.setBinary(True)
         views = []
         for c in columns:
-            train = _vectors(fitting[c], words).select(f"{c}_vector", "label", "weight")
+            train = _vectors(fitting[c], words, c).select(f"{c}_vector", "label", "weight").coalesce(parts)
             model = LogisticRegression(featuresCol=f"{c}_vector", labelCol="label", weightCol="weight", regParam=0.01, maxIter=500, tol=1e-6).fit(train)
             if model.summary.totalIterations >= 500:
                 warnings.warn(f"{target}, {c} view: the fit has not met its tolerance", stacklevel=2)
             views.append(View(c, model))
-        kept_aside = _vectors(rows.where("label IS NOT NULL AND checks"), words)
+        kept_aside = _vectors(rows.where("label IS NOT NULL AND checks"), words, *columns)
         for view in views:
             kept_aside = view.logit(kept_aside)
         table = np.array([[r[f"{c}_logit"] for c in columns] + [r["label"], r["weight"]] for r in kept_aside.select(*(f"{c}_logit" for c in columns), "label", "weight").collect()])
@@ -214,11 +220,12 @@ def _fit_target(sample: DataFrame, target: str, vocabulary: int, rounds: int, co
             combine = logistic(table[:, :2], y, weight=weight)
             combine[-1] += shift
             return Target(found, views, combine)
-        pool = _vectors(rows.where("label IS NULL").drop("label"), words)
+        pool = rows.where("label IS NULL").drop("label")
         edge = float(np.log(confident / (1 - confident)))
         for view, other in zip(views, columns[::-1], strict=True):
             logit = F.col(f"{view.column}_logit") + F.lit(shift)
-            given[other] = materialize(view.logit(pool).where(F.abs(logit) >= edge).select("id", (logit > 0).cast("double").alias("label")))
+            sure = view.logit(_vectors(pool, words, view.column)).where(F.abs(logit) >= edge)
+            given[other] = materialize(sure.select(*VIEWS[other], (logit > 0).cast("double").alias("label"), "weight"))
     raise AssertionError
 
 
@@ -261,7 +268,8 @@ def train(
     ids = docs.select(F.col(f"`{id_col}`").alias("id")).where("id IS NOT NULL")
     own = materialize(own.join(ids.distinct(), "id", "left_semi"))  # read once for each combination of labels
     sample = materialize(_sample(docs, own, ids, labelled_rows, pool_rows, columns))
-    return {t: _fit_target(sample, t, vocabulary, rounds, confident) for t in TARGETS}
+    parts = max(2, math.ceil((labelled_rows + pool_rows) / ROWS_A_TASK))
+    return {t: _fit_target(sample, t, vocabulary, rounds, confident, parts) for t in TARGETS}
 
 
 def _scored(docs: DataFrame, targets: dict[str, Target | None], keep_above: float, toxic_below: float, carry: list[str], columns: dict[str, str]) -> DataFrame:

@@ -85,3 +85,19 @@ def test_a_missing_class_is_said(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
     with pytest.warns(UserWarning, match="toxic = 1"):
         C.train(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int"))
+
+
+def test_a_step_of_a_fit_is_a_small_job(spark):
+    """The driver keeps something of every stage and task: a step of a fit has two stages of three tasks, and no job looks at the first row for its width."""
+    words = [f"w{i}" for i in range(40)]
+    text = lambda i: " ".join(["good", "fine"] * 2 if i % 2 else ["bad", "poor"] * 2) + " " + " ".join(words[(i * k) % 40] for k in range(1, 12))
+    docs = spark.createDataFrame([(i, text(i), "en", "ab"[i % 2], 100) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, i // 2 % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    spark.sparkContext.setJobGroup("fits", "")
+    C.train(docs, labels, rounds=1)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    seen = spark.sparkContext.statusTracker()
+    jobs = [[s for s in map(seen.getStageInfo, seen.getJobInfo(j).stageIds) if s] for j in seen.getJobIdsForGroup("fits")]
+    steps = [stages for stages in jobs if any("RDDLossFunction" in s.name for s in stages)]
+    assert len(steps) > 8 and all(len(stages) <= 2 and sum(s.numTasks for s in stages) <= 3 for stages in steps)
+    assert not any("VectorAssembler" in s.name for stages in jobs for s in stages)
